@@ -8,6 +8,7 @@ import json
 import mmap
 import os
 import struct
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -17,15 +18,16 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import driver_folder, pick, small_batches
+from keyloom.llm.common import Workspace, driver_folder, pick, small_batches
 
 #: Fixed value: how byte-level BPE splits a text into words before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: The lexicon holds at most so many words, the most frequent of the corpus, none longer than this in bytes.
 LEXICON_WORDS, LEXICON_LENGTH = 50_000, 64
-#: Words a worker remembers, and the longest it remembers.
-REMEMBERED, REMEMBERED_LENGTH = 400_000, 64
+COUNTED = 100_000
+#: Words a worker remembers, twice: those met of late and those met before them; and the longest it remembers.
+REMEMBERED, REMEMBERED_LENGTH = 600_000, 64
 
 
 def byte_symbols() -> dict[str, int]:
@@ -46,38 +48,45 @@ class Vocabulary:
         self.pieces: dict[int, bytes] = {i: bytes(symbols[c] for c in t) for t, i in ids.items()}
         self.bytes_to_id = [ids[c] for c, _ in sorted(symbols.items(), key=lambda x: x[1])]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in held["model"]["merges"]]
-        self.merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(pairs)}
+        #: Both by the pair as one number: the merge's rank, and what it makes, by rank.
+        self.ranks = {ids[a] << 20 | ids[b]: rank for rank, (a, b) in enumerate(pairs)}
+        self.made = [ids[a + b] for a, b in pairs]
         self.special = {t["content"]: t["id"] for t in held.get("added_tokens", [])}
         self.pieces |= {i: t.encode() for t, i in self.special.items()}
 
     def merge(self, word: bytes) -> list[int]:
         """Exact: the pair of lowest rank first, the leftmost of equals; a heap keeps long words near linear."""
-        ids = [self.bytes_to_id[b] for b in word]
-        merges = self.merges
-        if len(ids) < 32:
-            while len(ids) > 1:
-                best, at = None, 0
-                for k, pair in enumerate(zip(ids, ids[1:], strict=False)):
-                    if (m := merges.get(pair)) is not None and (best is None or m[0] < best[0]):
-                        best, at = m, k
-                if best is None:
-                    break
-                ids[at : at + 2] = [best[1]]
-            return ids
+        ids = list(map(self.bytes_to_id.__getitem__, word))
+        if len(ids) > 64:
+            return self._merge_long(ids)
+        rank, none = self.ranks.get, len(self.made)
+        at = [rank(a << 20 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
+        while at and (best := min(at)) < none:
+            k = at.index(best)
+            ids[k : k + 2] = [self.made[best]]
+            del at[k]
+            if k:
+                at[k - 1] = rank(ids[k - 1] << 20 | ids[k], none)
+            if k < len(at):
+                at[k] = rank(ids[k] << 20 | ids[k + 1], none)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        rank = self.ranks.get
         before, after = list(range(-1, len(ids) - 1)), [*range(1, len(ids)), -1]
-        heap = [(m[0], k, ids[k], ids[k + 1], m[1]) for k in range(len(ids) - 1) if (m := merges.get((ids[k], ids[k + 1])))]
+        heap = [(r, k, ids[k], ids[k + 1]) for k in range(len(ids) - 1) if (r := rank(ids[k] << 20 | ids[k + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, k, a, b, new = heapq.heappop(heap)
+            best, k, a, b = heapq.heappop(heap)
             n = after[k]
             if ids[k] != a or n < 0 or ids[n] != b:
                 continue
-            ids[k], ids[n], after[k] = new, -1, after[n]
+            ids[k], ids[n], after[k] = self.made[best], -1, after[n]
             if after[n] >= 0:
                 before[after[n]] = k
             for x, y in ((before[k], k), (k, after[k])):
-                if x >= 0 and y >= 0 and (m := merges.get((ids[x], ids[y]))):
-                    heapq.heappush(heap, (m[0], x, ids[x], ids[y], m[1]))
+                if x >= 0 and y >= 0 and (r := rank(ids[x] << 20 | ids[y])) is not None:
+                    heapq.heappush(heap, (r, x, ids[x], ids[y]))
         return [i for i in ids if i >= 0]
 
 
@@ -134,6 +143,9 @@ def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
     return b"".join([head, np.array(first, "<u4").tobytes(), np.array(target, "<u4").tobytes(), np.array(skip, "<u4").tobytes(), starts.tobytes(), ids.tobytes(), final, bytes(label)])
 
 
+BYTES = [bytes((b,)) for b in range(256)]
+
+
 class Lexicon:
     """A compiled transducer in memory that processes share."""
 
@@ -147,16 +159,15 @@ class Lexicon:
         self.final_at, self.label_at, self.block = at, at + n, block
 
     def find(self, word: bytes) -> list[int] | None:
-        state, place, block = self.root, 0, self.block
+        state, place = self.root, 0
+        find, labels, first, skip, target = self.block.find, self.label_at, self.first, self.skip, self.target
         for b in word:
-            lo = self.label_at + self.first[state]
-            arc = block.find(bytes((b,)), lo, self.label_at + self.first[state + 1])
+            arc = find(BYTES[b], labels + first[state], labels + first[state + 1]) - labels
             if arc < 0:
                 return None
-            arc -= self.label_at
-            place += self.skip[arc]
-            state = self.target[arc]
-        return self.ids[self.starts[place] : self.starts[place + 1]].tolist() if block[self.final_at + state] else None
+            place += skip[arc]
+            state = target[arc]
+        return self.ids[self.starts[place] : self.starts[place + 1]].tolist() if self.block[self.final_at + state] else None
 
 
 class Encoder(dict):
@@ -166,16 +177,19 @@ class Encoder(dict):
         import regex
 
         super().__init__()
+        self.before: dict[str, bytes] = {}
         self.vocabulary, self.lexicon = vocabulary, lexicon
         self.words = regex.compile(PATTERN)
         self.specials = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(vocabulary.special, key=len, reverse=True)) + ")") if vocabulary.special else None
 
     def __missing__(self, word: str) -> bytes:
-        raw = word.encode()
-        ids = self.lexicon.find(raw) if self.lexicon and len(raw) <= LEXICON_LENGTH else None
-        out = struct.pack(f"<{len(ids)}i", *ids) if ids is not None else np.array(self.vocabulary.merge(raw), "<i4").tobytes()
+        if (out := self.before.get(word)) is None:
+            raw = word.encode()
+            ids = self.lexicon.find(raw) if self.lexicon and len(raw) <= LEXICON_LENGTH else None
+            out = array("i", self.vocabulary.merge(raw) if ids is None else ids).tobytes()
         if len(word) <= REMEMBERED_LENGTH:
             if len(self) >= REMEMBERED:
+                self.before = dict(self)
                 self.clear()
             self[word] = out
         return out
@@ -197,29 +211,37 @@ def decoded(vocabulary: Vocabulary, ids: np.ndarray) -> str:
 
 
 def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS) -> list[str]:
-    """The ``most`` most frequent words of all texts. Tasks count in memory and send their counts on when it is full."""
+    """Of all texts, the words between ASCII blanks that occur at least so often that ``most`` at most do, in order.
+
+    Tasks count in memory and send their counts on when it is full. The least count is read off the number of words by
+    count, where counts over COUNTED are one, so what reaches the driver is bounded.
+    """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        words, seen = regex.compile(PATTERN), Counter()
+        seen: Counter[bytes] = Counter()
 
-        def flushed(least: int) -> Iterator[pa.RecordBatch]:
-            rows = [(w, n) for w, n in seen.items() if n >= least and len(w) <= LEXICON_LENGTH]
+        def flushed() -> Iterator[pa.RecordBatch]:
+            rows = [(w, n) for w, n in seen.items() if len(w) < LEXICON_LENGTH]
             seen.clear()
             for k in range(0, len(rows), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows[k : k + 50_000]], pa.string()), pa.array([n for _, n in rows[k : k + 50_000]], pa.int64())], ["word", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows[k : k + 50_000]], pa.binary()).cast(pa.string()), pa.array([n for _, n in rows[k : k + 50_000]], pa.int64())], ["word", "n"])
 
         for b in batches:
             for text in b.column(0).to_pylist():
-                seen.update(words.findall(text or ""))
-            if len(seen) > 300_000:
-                yield from flushed(1)
-        yield from flushed(1)
+                seen.update((text or "").encode().split())
+            if len(seen) > 400_000:
+                yield from flushed()
+        yield from flushed()
 
-    counted = pick(docs, "text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
-    return [r[0] for r in counted.orderBy(F.desc("n"), "word").limit(most).select("word").collect()]
+    work = Workspace(docs.sparkSession, "bpe")
+    counted = work.table(pick(docs, "text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "counted")
+    least, held = COUNTED + 1, 0
+    for n, words in sorted(counted.groupBy(F.least("n", F.lit(COUNTED))).count().collect(), reverse=True):
+        if held + words > most:
+            break
+        least, held = n, held + words
+    return sorted(r[0] for r in counted.where(F.col("n") >= least).select("word").collect())
 
 
 def ship_lexicon(spark: SparkSession, block: bytes) -> str:
@@ -254,8 +276,9 @@ def round_trip(docs: DataFrame, tokenizer_file: str, lexicon_words: int = LEXICO
     spark = docs.sparkSession
     small_batches(spark)
     vocabulary = Vocabulary(tokenizer_file)
-    words = {w.encode(): vocabulary.merge(w.encode()) for w in frequent_words(docs, lexicon_words)}
-    name = ship_lexicon(spark, compile_lexicon({w: i for w, i in words.items() if len(w) <= LEXICON_LENGTH}))
+    split = Encoder(vocabulary, None).words.findall
+    words = {piece.encode() for w in frequent_words(docs, lexicon_words) for piece in split(f" {w}")}
+    name = ship_lexicon(spark, compile_lexicon({w: vocabulary.merge(w) for w in words if len(w) <= LEXICON_LENGTH}))
     sent = spark.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
