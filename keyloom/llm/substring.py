@@ -188,8 +188,9 @@ def tree_nodes(suffixes: np.ndarray, docs: np.ndarray) -> np.ndarray:
     of neighbours with enough words in common, and those of full depth are the repeats.
     """
     depth = suffixes.shape[1]
-    order = np.lexsort(suffixes.T[::-1])
-    differs = suffixes[order[1:]] != suffixes[order[:-1]]
+    order = np.argsort(np.ascontiguousarray(suffixes.byteswap()).view(f"S{8 * depth}").ravel(), kind="stable")
+    ordered = suffixes[order]
+    differs = ordered[1:] != ordered[:-1]
     common = np.where(differs.any(axis=1), differs.argmax(axis=1), depth)
     opens = np.concatenate([[0], np.flatnonzero(common < depth) + 1])
     least = np.minimum.reduceat(docs[order], opens)
@@ -198,32 +199,52 @@ def tree_nodes(suffixes: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return out
 
 
-def walk_groups(rows: DataFrame, window: int, at_once: int = 50_000) -> DataFrame:
+def _spread(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, .. of each row, n of them."""
+    before = np.cumsum(n) - n
+    return np.arange(int(n.sum())) - np.repeat(before, n) + np.repeat(starts, n)
+
+
+def walk(rows: pa.Table, window: int) -> pa.RecordBatch:
+    """(doc_id, place) of the late windows of whole groups. Equal runs of words are one branch, of the smallest document."""
+    docs, places = rows["doc_id"].to_numpy(), rows["place"].to_numpy().astype(np.int64)
+    runs = rows["words"].combine_chunks().dictionary_encode()
+    branch, distinct = runs.indices.to_numpy(), runs.dictionary
+    ends = np.frombuffer(distinct.buffers()[1], np.int32)[distinct.offset : distinct.offset + len(distinct) + 1].astype(np.int64)
+    flat = np.frombuffer(distinct.buffers()[2], np.uint8)[: int(ends[-1])].view(np.uint64)
+    n = (ends[1:] - ends[:-1]) // 8 - window + 1
+    first = np.full(len(distinct), np.iinfo(np.int64).max)
+    np.minimum.at(first, branch, docs)
+    nodes = tree_nodes(flat[_spread(ends[:-1] // 8, n)[:, None] + np.arange(window)], np.repeat(first, n))
+    own = n[branch]
+    late = nodes[_spread((np.cumsum(n) - n)[branch], own)] < np.repeat(docs, own)
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(docs, own)[late]), pa.array(_spread(places, own)[late].astype(np.int32))], ["doc_id", "place"])
+
+
+def walk_groups(rows: DataFrame, window: int, at_once: int = 4_000) -> DataFrame:
     """(doc_id, place): windows whose words also start in a document of smaller id, of rows grouped by anchor.
 
-    A partition's rows come sorted by anchor; whole groups are gathered until there are ``at_once`` suffixes, and their
+    A partition's rows come sorted by anchor; whole groups are gathered until there are ``at_once`` rows, and their
     subtrees are built and walked together.
     """
 
-    def walk(held: list[tuple]) -> pa.RecordBatch:
-        suffixes = np.concatenate([np.lib.stride_tricks.sliding_window_view(np.frombuffer(w, np.uint64), window) for *_, w in held])
-        n = np.array([len(w) // 8 - window + 1 for *_, w in held])
-        docs = np.repeat(np.array([h[1] for h in held], np.int64), n)
-        places = np.concatenate([np.arange(h[2], h[2] + k) for h, k in zip(held, n.tolist(), strict=True)])
-        late = tree_nodes(suffixes, docs) < docs
-        return pa.RecordBatch.from_arrays([pa.array(docs[late]), pa.array(places[late].astype(np.int32))], ["doc_id", "place"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if size >= at_once and row[0] != held[-1][0]:
-                    yield walk(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[3]) // 8 - window + 1
-        if held:
-            yield walk(held)
+            anchors = b.column(0).to_numpy()
+            changes = np.flatnonzero(anchors[1:] != anchors[:-1]) + 1
+            if size + b.num_rows >= at_once and held and anchors[0] != held[-1].column(0)[-1].as_py():
+                yield walk(pa.Table.from_batches(held), window)
+                held, size = [], 0
+            if size + b.num_rows >= at_once and len(changes):
+                held.append(b.slice(0, int(changes[-1])))
+                yield walk(pa.Table.from_batches(held), window)
+                held, size = [], 0
+                b = b.slice(int(changes[-1]))
+            held.append(b)
+            size += b.num_rows
+        if size:
+            yield walk(pa.Table.from_batches(held), window)
 
     return rows.select("anchor", "doc_id", "place", "words").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "doc_id long, place int")
 
@@ -246,10 +267,11 @@ def drop_repeats(docs: DataFrame, window: int = 13, prefix: int = PREFIX, group:
     repeats = build_bloom(counts.select("anchor"), n)
     heavy = build_bloom(counts.where(F.col("n_docs") > group).select("anchor"), n_heavy)
     suffixes = work.table(repeated_suffixes(own, window, prefix, repeats, heavy), "suffixes")
-    light = walk_groups(suffixes.where("anchor is not null"), window)
+    # Each a table of its own, so that a join of very frequent windows may be split where they gather.
+    light = work.table(walk_groups(suffixes.where("anchor is not null"), window), "light")
     many = suffixes.where("anchor is null").select("low", "high", "doc_id", "place")
-    opened = many.groupBy("low", "high").agg(F.min("doc_id").alias("opened"))
-    found = light.union(many.join(opened, ["low", "high"]).where("doc_id > opened").select("doc_id", "place"))
+    opened = work.table(many.groupBy("low", "high").agg(F.min("doc_id").alias("opened")), "opened")
+    found = light.union(work.table(many.join(opened, ["low", "high"]).where("doc_id > opened").select("doc_id", "place"), "many"))
     lost = work.table(found.groupBy("doc_id").agg(F.collect_set("place").alias("places")).select(F.col("doc_id").alias("of"), "places"), "lost")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
