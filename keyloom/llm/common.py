@@ -21,7 +21,7 @@ BLANK = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Upper limits of one Arrow batch sent to a Python worker.
-BATCH_ROWS, BATCH_BYTES = 4000, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 4000, 2 << 20
 
 #: A Bloom filter sent to executors has at most so many bits (16 MB); a fuller one prunes less and loses nothing.
 BLOOM_BITS = 1 << 27

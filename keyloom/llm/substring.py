@@ -133,18 +133,32 @@ def anchor_counts(docs: DataFrame, window: int, prefix: int) -> DataFrame:
             starts = w.windows(window)
             if len(starts):
                 places = np.unique(at[starts])
-                pairs = np.unique(np.rec.fromarrays([w.doc[places], hashes[places]]))
-                found, n = np.unique(pairs["f1"], return_counts=True)
-                yield pa.RecordBatch.from_arrays([_signed(found), pa.array(n.astype(np.int32))], ["anchor", "n"])
+                order = np.lexsort((w.doc[places], hashes[places]))
+                anchor, doc = hashes[places][order], w.doc[places][order]
+                new = np.concatenate([[True], anchor[1:] != anchor[:-1]])
+                other = new | np.concatenate([[True], doc[1:] != doc[:-1]])
+                first = np.flatnonzero(new)
+                yield pa.RecordBatch.from_arrays([_signed(anchor[first]), pa.array(np.add.reduceat(other, first).astype(np.int32))], ["anchor", "n"])
 
     return docs.select("text").mapInArrow(run, "anchor long, n int").groupBy("anchor").agg(F.sum("n").alias("n_docs")).where("n_docs > 1")
 
 
+def _lists(keys: tuple[np.ndarray, ...], places: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Rows of equal keys as one: where its first is, and the places of all as 32-bit numbers."""
+    order = np.lexsort((places, *keys))
+    new = np.concatenate([[True], np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)])
+    first = np.flatnonzero(new)
+    offsets = np.concatenate([first, [len(order)]]).astype(np.int32) * 4
+    held = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(places[order].astype(np.int32).tobytes())])
+    return order[first], held
+
+
 def repeated_suffixes(docs: DataFrame, window: int, prefix: int, repeats: Bloom, heavy: Bloom) -> DataFrame:
-    """(anchor, low, high, doc_id, place, words): a row for each run of windows under one repeated anchor.
+    """(anchor, low, high, doc_id, places, words): a row for each different run of windows of a document under one repeated anchor.
 
-    ``words`` holds the hashes of the run's words, which spell all its suffixes; under a heavy anchor each window is a
-    row of its own, whose prefix is the whole window, as two hashes ``low`` and ``high``.
+    ``words`` holds the hashes of the run's words, which spell all its suffixes, ``places`` where it starts; under a
+    heavy anchor each different window is a row of its own, whose prefix is the whole window, as two hashes ``low`` and
+    ``high``. So what a document says again and again is sent once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,25 +174,30 @@ def repeated_suffixes(docs: DataFrame, window: int, prefix: int, repeats: Bloom,
             large = passed & heavy.has(hashes[places])
             doc = w.doc[starts]
             own = starts - w.first[doc]
+            low = w.rolling(window, 1) if passed.any() else None
             many = large[back]
             if many.any():
-                low, high = w.rolling(window, 1), w.rolling(window, 2)
-                s = starts[many]
-                n = len(s)
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), _signed(low[s]), _signed(high[s]), pa.array(ids[doc[many]]), pa.array(own[many].astype(np.int32)), pa.nulls(n, pa.binary())], names)
+                s, d = starts[many], doc[many]
+                high = w.rolling(window, 2)
+                first, lists = _lists((high[s], low[s], d), own[many])
+                n = len(first)
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), _signed(low[s[first]]), _signed(high[s[first]]), pa.array(ids[d[first]]), lists, pa.nulls(n, pa.binary())], names)
             few = (passed & ~large)[back]
             if few.any():
                 s, a, d = starts[few], back[few], doc[few]
                 new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (s[1:] != s[:-1] + 1)]))
                 last = np.concatenate([new[1:], [len(s)]]) - 1
-                lo, hi = s[new], s[last] + window
-                flat = np.concatenate([w.hashes[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)])
-                offsets = np.concatenate([[0], np.cumsum(hi - lo)]) * 8
-                words = pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
-                yield pa.RecordBatch.from_arrays([_signed(hashes[places[a[new]]]), pa.nulls(len(lo), pa.int64()), pa.nulls(len(lo), pa.int64()), pa.array(ids[d[new]]), pa.array((lo - w.first[d[new]]).astype(np.int32)), words], names)
+                # A run is no longer than its first and last window together, whose hashes tell it.
+                first, lists = _lists((last - new, low[s[last]], low[s[new]], d[new]), own[few][new])
+                new, last = new[first], last[first]
+                lo, n = s[new], s[last] + window - s[new]
+                offsets = np.concatenate([[0], np.cumsum(n)]) * 8
+                words = pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(w.hashes[_spread(lo, n)].tobytes())])
+                none = pa.nulls(len(lo), pa.int64())
+                yield pa.RecordBatch.from_arrays([_signed(hashes[places[a[new]]]), none, none, pa.array(ids[d[new]]), lists, words], names)
 
-    names = ["anchor", "low", "high", "doc_id", "place", "words"]
-    return pick(docs, "doc_id", "text").mapInArrow(run, "anchor long, low long, high long, doc_id long, place int, words binary")
+    names = ["anchor", "low", "high", "doc_id", "places", "words"]
+    return pick(docs, "doc_id", "text").mapInArrow(run, "anchor long, low long, high long, doc_id long, places binary, words binary")
 
 
 def tree_nodes(suffixes: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -206,23 +225,39 @@ def _spread(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def walk(rows: pa.Table, window: int) -> pa.RecordBatch:
-    """(doc_id, place) of the late windows of whole groups. Equal runs of words are one branch, of the smallest document."""
-    docs, places = rows["doc_id"].to_numpy(), rows["place"].to_numpy().astype(np.int64)
+    """(doc_id, places) of the late windows of whole groups. Equal runs of words are one branch, of the smallest document."""
+    docs = rows["doc_id"].to_numpy()
     runs = rows["words"].combine_chunks().dictionary_encode()
     branch, distinct = runs.indices.to_numpy(), runs.dictionary
-    ends = np.frombuffer(distinct.buffers()[1], np.int32)[distinct.offset : distinct.offset + len(distinct) + 1].astype(np.int64)
-    flat = np.frombuffer(distinct.buffers()[2], np.uint8)[: int(ends[-1])].view(np.uint64)
-    n = (ends[1:] - ends[:-1]) // 8 - window + 1
+    ends, flat = _binary(distinct, np.uint64)
+    n = np.diff(ends) - window + 1
     first = np.full(len(distinct), np.iinfo(np.int64).max)
     np.minimum.at(first, branch, docs)
-    nodes = tree_nodes(flat[_spread(ends[:-1] // 8, n)[:, None] + np.arange(window)], np.repeat(first, n))
+    nodes = tree_nodes(flat[_spread(ends[:-1], n)[:, None] + np.arange(window)], np.repeat(first, n))
     own = n[branch]
     late = nodes[_spread((np.cumsum(n) - n)[branch], own)] < np.repeat(docs, own)
-    return pa.RecordBatch.from_arrays([pa.array(np.repeat(docs, own)[late]), pa.array(_spread(places, own)[late].astype(np.int32))], ["doc_id", "place"])
+    row, k = np.repeat(np.arange(len(docs)), own)[late], _spread(np.zeros(len(docs), np.int64), own)[late]
+    # Every late window of a run, at each place of the run.
+    at, places = _binary(rows["places"].combine_chunks(), np.int32)
+    times = np.diff(at)[row]
+    out = (places[_spread(at[row], times)] + np.repeat(k, times)).astype(np.int32)
+    by_row = np.bincount(row, times, len(docs)).astype(np.int64)
+    held = np.flatnonzero(by_row)
+    offsets = np.concatenate([[0], np.cumsum(by_row[held])]) * 4
+    lists = pa.Array.from_buffers(pa.binary(), len(held), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(out.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(docs[held]), lists], ["doc_id", "places"])
+
+
+def _binary(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Of numbers held as bytes: bounds of each row, in numbers, and all numbers."""
+    size = np.dtype(kind).itemsize
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[int(ends[0]) : int(ends[-1])].view(kind) if ends[-1] > ends[0] else np.zeros(0, kind)
+    return (ends - ends[0]) // size, data
 
 
 def walk_groups(rows: DataFrame, window: int, at_once: int = 4_000) -> DataFrame:
-    """(doc_id, place): windows whose words also start in a document of smaller id, of rows grouped by anchor.
+    """(doc_id, places): windows whose words also start in a document of smaller id, of rows grouped by anchor.
 
     A partition's rows come sorted by anchor; whole groups are gathered until there are ``at_once`` rows, and their
     subtrees are built and walked together.
@@ -246,7 +281,7 @@ def walk_groups(rows: DataFrame, window: int, at_once: int = 4_000) -> DataFrame
         if size:
             yield walk(pa.Table.from_batches(held), window)
 
-    return rows.select("anchor", "doc_id", "place", "words").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "doc_id long, place int")
+    return rows.select("anchor", "doc_id", "places", "words").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "doc_id long, places binary")
 
 
 def drop_repeats(docs: DataFrame, window: int = 13, prefix: int = PREFIX, group: int = GROUP) -> DataFrame:
@@ -269,10 +304,10 @@ def drop_repeats(docs: DataFrame, window: int = 13, prefix: int = PREFIX, group:
     suffixes = work.table(repeated_suffixes(own, window, prefix, repeats, heavy), "suffixes")
     # Each a table of its own, so that a join of very frequent windows may be split where they gather.
     light = work.table(walk_groups(suffixes.where("anchor is not null"), window), "light")
-    many = suffixes.where("anchor is null").select("low", "high", "doc_id", "place")
+    many = suffixes.where("anchor is null").select("low", "high", "doc_id", "places")
     opened = work.table(many.groupBy("low", "high").agg(F.min("doc_id").alias("opened")), "opened")
-    found = light.union(work.table(many.join(opened, ["low", "high"]).where("doc_id > opened").select("doc_id", "place"), "many"))
-    lost = work.table(found.groupBy("doc_id").agg(F.collect_set("place").alias("places")).select(F.col("doc_id").alias("of"), "places"), "lost")
+    found = light.union(work.table(many.join(opened, ["low", "high"]).where("doc_id > opened").select("doc_id", "places"), "many"))
+    lost = work.table(found.groupBy("doc_id").agg(F.collect_list("places").alias("places")).select(F.col("doc_id").alias("of"), "places"), "lost")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -282,7 +317,7 @@ def drop_repeats(docs: DataFrame, window: int = 13, prefix: int = PREFIX, group:
                 n_words.append(len(words))
                 if places.is_valid:
                     gone = np.zeros(len(words) + 1, np.int64)
-                    at = places.values.to_numpy()
+                    at = np.unique(np.frombuffer(b"".join(places.as_py()), np.int32))
                     at = at[at + window <= len(words)]
                     np.add.at(gone, at, 1)
                     np.add.at(gone, at + window, -1)
