@@ -112,7 +112,8 @@ def exact_duplicates(docs: DataFrame, batches: int = 4, digest_bytes: int = 32)
         low = F.conv(F.rpad(F.substring("digest", 1, 16), min(16, 2 * digest_bytes), "0"), 16, -10).cast("long")
         bodies = _texts_of(docs, build_bloom(shared.select(low.alias("h")), count), digest_bytes)
         stays = bodies.join(shared.select(F.col("digest").alias("of"), F.col("best.doc_id").alias("keep"), F.col("best.n_chars").alias("keep_chars")), (F.col("digest") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("keep")) & (F.col("n_chars") == F.col("keep_chars")))
-        stays = stays.groupBy("digest").agg(F.min("body").alias("keep_body")).select(F.col("digest").alias("of"), "keep_body")
+        # A table of its own, so that the join may split a digest that very many share.
+        stays = work.table(stays.groupBy("digest").agg(F.min("body").alias("keep_body")).select(F.col("digest").alias("of"), "keep_body"), "stays")
         odd = bodies.join(stays, F.col("digest") == F.col("of")).where("body <> keep_body").select("doc_id", "n_chars", F.col("digest").alias("was"), F.hex("body").alias("body"))
         odd = work.table(odd, "collided")
         if not odd.isEmpty():
