@@ -20,7 +20,7 @@ TERM = r"[\p{L}][\p{L}\p{N}]*+"
 
 #: Code points on either side of an entity in which terms count as its context.
 CONTEXT = 64
-#: A term is disclosed if it tells this share of an entity's information, in at least so many documents.
+#: A term is disclosed if it tells this share of an entity's information, in at least so many different contexts.
 THRESHOLD, SUPPORT = 0.5, 3
 
 CHUNK = 256
@@ -85,7 +85,7 @@ def base_spans(text: Column) -> Column:
 
 
 def context_terms(spans: Column, text: Column) -> Column:
-    """array<struct<entity, term, start, end>>: the words within CONTEXT of each span, whole words outside all spans."""
+    """array<struct<entity, term, context, start, end>>: the whole words within CONTEXT of each span, with a hash of what stands there."""
 
     def around(s: Column) -> Column:
         left_at = F.greatest(F.lit(0), s["start"] - CONTEXT)
@@ -94,7 +94,7 @@ def context_terms(spans: Column, text: Column) -> Column:
         before = F.filter(located(left, TERM, left_at), lambda t: (t["start"] > left_at) | (left_at == 0))
         after = F.filter(located(right, TERM, s["end"]), lambda t: (t["end"] < s["end"] + CONTEXT) & (t["start"] > s["end"]))
         entity = F.concat(s["kind"], F.lit(":"), F.lower(F.when(s["kind"] == "email", s["text"]).when(s["kind"] == "ip", s["text"]).otherwise(F.regexp_replace(s["text"], "[^0-9]", ""))))
-        return F.transform(F.concat(before, after), lambda t: F.struct(entity.alias("entity"), F.lower(t["text"]).alias("term"), t["start"].alias("start"), t["end"].alias("end")))
+        return F.transform(F.concat(before, after), lambda t: F.struct(entity.alias("entity"), F.lower(t["text"]).alias("term"), F.xxhash64(left, right).alias("context"), t["start"].alias("start"), t["end"].alias("end")))
 
     return F.flatten(F.transform(spans, around))
 
@@ -102,16 +102,17 @@ def context_terms(spans: Column, text: Column) -> Column:
 def disclosing_terms(docs: DataFrame, pairs: DataFrame, n_docs: int, threshold: float, support: int, work: Workspace) -> DataFrame | None:
     """(entity, term) whose pointwise mutual information reaches ``threshold`` of the entity's information; None if none can.
 
-    ``pairs`` holds (rid, entity, term) of the contexts. Documents are the unit of all counts; how many hold a term is
-    counted over the whole texts of all, for terms that a pair of enough support has.
+    ``pairs`` holds (entity, term, context). A context that copies of a text repeat is counted once, as it tells
+    nothing new. How many documents hold a term is counted over the whole texts of all, for terms that a pair of enough
+    support has.
     """
-    both = pairs.select("rid", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
+    both = pairs.select("context", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
     both = work.table(both, "together")
     if both.isEmpty():
         return None
-    entities = pairs.select("rid", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    entities = pairs.select("context", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    terms = words.join(both.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    terms = words.groupBy("term").agg(F.count("*").alias("n_term")).join(both.select("term").distinct(), "term")
     n = F.lit(float(n_docs))
     told = F.log(F.col("n_both") * n / (F.col("n_entity") * F.greatest("n_term", "n_both"))) / F.greatest(F.log(n / F.col("n_entity")), F.lit(1e-9))
     return both.join(entities, "entity").join(terms, "term").where(told >= threshold).select("entity", "term")
