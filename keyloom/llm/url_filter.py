@@ -38,15 +38,14 @@ def grams(urls: DataFrame, order: int) -> DataFrame:
     return urls.where(F.length("url") > 0).withColumn("gram", F.explode(F.transform(F.sequence(F.lit(1), F.length("url")), lambda i: F.substring(padded, i, F.lit(order + 1)))))
 
 
-def model(counted: DataFrame, order: int, strength: float) -> DataFrame:
+def model(counted: DataFrame, chars: int, order: int, strength: float) -> DataFrame:
     """(gram, ratio): log P(char | context) of accepted over rejected, from (gram, allow, block) counts of all grams.
 
     Markov models of every order from 0 to ``order`` are interpolated: a context's own counts weigh against
-    ``strength`` draws from the next shorter context, at the bottom from a uniform character set. So a context never
-    seen leaves the word to shorter ones. The counts of shorter grams are sums of those of longer ones.
+    ``strength`` draws from the next shorter context, at the bottom from ``chars`` equal characters and one unseen. So a
+    context never seen leaves the word to shorter ones. The counts of shorter grams are sums of those of longer ones.
     """
-    n = counted.select(F.countDistinct(F.right("gram", F.lit(1))).alias("chars"))
-    out = counted.crossJoin(F.broadcast(n)).withColumns({f"p_{c}": 1.0 / (F.col("chars") + 1) for c in ("allow", "block")})
+    out = counted.withColumns({f"p_{c}": F.lit(1.0 / (chars + 1)) for c in ("allow", "block")})
     for k in range(order + 1):  # k characters of context
         gram = F.right("gram", F.lit(k + 1))
         sums = counted.groupBy(gram.alias("g")).agg(*[F.sum(c).alias(f"n_{c}") for c in ("allow", "block")])
@@ -97,12 +96,13 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] | None = None, ord
     allow, block = [F.sum(F.when(F.col("verdict") == c, F.col("n")).otherwise(0)) for c in ("allow", "block")]
     first_allow, first_block = [F.sum(F.when((F.col("verdict") == c) & ~F.col("held"), F.col("n")).otherwise(0)) for c in ("allow", "block")]
     counted = work.table(seen.groupBy("gram").agg(allow.alias("allow"), block.alias("block"), first_allow.alias("first_allow"), first_block.alias("first_block")), "counted")
-    both = model(counted.select("gram", "allow", "block"), order, strength).join(
-        model(counted.select("gram", F.col("first_allow").alias("allow"), F.col("first_block").alias("block")), order, strength).withColumnRenamed("ratio", "first_ratio"), "gram")
+    chars = counted.select(F.countDistinct(F.right("gram", F.lit(1)))).first()[0]
+    both = model(counted.select("gram", "allow", "block"), chars, order, strength).join(
+        model(counted.select("gram", F.col("first_allow").alias("allow"), F.col("first_block").alias("block")), chars, order, strength).withColumnRenamed("ratio", "first_ratio"), "gram")
     both = work.table(both, "model")
     scores = seen.select("url", "gram").join(both, "gram").groupBy("url").agg(F.round(F.avg("ratio"), 9).alias("score"), F.round(F.avg("first_ratio"), 9).alias("first_score"))
     scores = work.table(urls.join(scores, "url", "left").select(F.col("url").alias("of"), "verdict", "held", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("first_score", F.lit(0.0)).alias("first_score")), "scores")
-    cut = calibrated(scores.where(F.col("held") & F.col("verdict").isNotNull()).select("verdict", F.col("first_score").alias("score")))
-    judged = rows.join(scores.select("of", "score"), F.col("url") == F.col("of"), "left").crossJoin(F.broadcast(cut))
+    cut = calibrated(scores.where(F.col("held") & F.col("verdict").isNotNull()).select("verdict", F.col("first_score").alias("score"))).first()[0]
+    judged = rows.join(scores.select("of", "score"), F.col("url") == F.col("of"), "left")
     score = F.coalesce("score", F.lit(0.0))
-    return judged.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", F.when(score >= F.col("threshold"), "allow").otherwise("block")).alias("verdict"), score.alias("score"))
+    return judged.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", F.when(score >= F.lit(cut), "allow").otherwise("block")).alias("verdict"), score.alias("score"))
