@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.common import WORD, Workspace, pick
 
-#: Equal sizes of one source are numbered in so many parts at a time.
-PARTS = 64
+#: Equal sizes of one source are numbered in so many parts at least, and in more where a part would be larger than this.
+PARTS, PART_ROWS = 64, 100_000
+
+#: Sizes whose copies are settled in one list before the lists are put together.
+CHUNK = 256
 
 
 def word_count(text: Column) -> Column:
@@ -68,7 +71,9 @@ def mix(docs: DataFrame, weights: list[float] | None = None, share: float = 1.5,
     spark = docs.sparkSession
     work = Workspace(spark, "mix")
     rows = pick(docs, "doc_id", "source", "text").select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    rows = work.table(rows.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(PARTS)).cast("int")), "rows")
+    rows = work.table(rows, "rows")
+    n_parts = max(PARTS, rows.count() // PART_ROWS)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(n_parts)).cast("int"))
     parts = work.table(rows.groupBy("source", "size", "part").agg(F.count("*").alias("n")), "parts")
     cells = work.table(parts.groupBy("source", "size").agg(F.sum("n").alias("n")), "cells")
     sources = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
@@ -84,13 +89,19 @@ def mix(docs: DataFrame, weights: list[float] | None = None, share: float = 1.5,
         copies = F.when(cell["size"] > 0, F.greatest(F.lit(0), F.least(most * cell["n"], F.round(asked / cell["size"]).cast("long")))).otherwise(F.lit(0)).cast("long")
         return F.struct((asked - copies * cell["size"]).alias("carry"), copies.alias("copies"))
 
-    # The fold's states, in order: each is made from the one before and the next size.
-    tilted = tilted.select("source", F.explode(F.aggregate(
-        "sizes",
-        F.struct(F.lit(0.0).alias("carry"), F.expr("array()").cast("array<struct<size:bigint,copies:bigint,n:bigint>>").alias("out")),
-        lambda acc, cell: F.struct(settle(acc, cell)["carry"].alias("carry"), F.concat(acc["out"], F.array(F.struct(cell["size"].alias("size"), settle(acc, cell)["copies"].alias("copies"), cell["n"].alias("n")))).alias("out")),
-        lambda acc: acc["out"],
-    )).alias("c"))
+    def settled(acc: Column, chunk: Column) -> Column:
+        begun = F.struct(acc["carry"].alias("carry"), F.expr("array()").cast("array<struct<size:bigint,copies:bigint,n:bigint>>").alias("out"))
+        return F.aggregate(chunk, begun, lambda a, cell: F.struct(settle(a, cell)["carry"].alias("carry"), F.concat(a["out"], F.array(F.struct(cell["size"].alias("size"), settle(a, cell)["copies"].alias("copies"), cell["n"].alias("n")))).alias("out")))
+
+    # The fold's states, in order: each is made from the one before and the next chunk of sizes, so that no size copies all before it.
+    chunks = F.transform(F.sequence(F.lit(0), ((F.size("sizes") - 1) / CHUNK).cast("int")), lambda c: F.slice("sizes", c * CHUNK + 1, F.lit(CHUNK)))
+    folded = F.aggregate(
+        chunks,
+        F.struct(F.lit(0.0).alias("carry"), F.expr("array()").cast("array<array<struct<size:bigint,copies:bigint,n:bigint>>>").alias("out")),
+        lambda acc, chunk: F.transform(F.array(settled(acc, chunk)), lambda s: F.struct(s["carry"].alias("carry"), F.concat(acc["out"], F.array(s["out"])).alias("out")))[0],
+        lambda acc: F.flatten(acc["out"]),
+    )
+    tilted = tilted.select("source", F.explode(folded).alias("c"))
     deal = tilted.select("source", F.col("c.size").alias("size"), (F.col("c.copies") / F.col("c.n")).cast("long").alias("each"), (F.col("c.copies") % F.col("c.n")).alias("more"))
 
     earlier = F.coalesce(F.sum("n").over(Window.partitionBy("source", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -137,6 +137,15 @@ def test_mixing(spark, docs, edge, data):
             assert abs(sum(r.taken for r in by[s]) - target[s]) <= max(least, 1) or sum(1 for r in by[s]) < 30
 
 
+def test_mixing_in_chunks_and_more_parts(spark, docs, monkeypatch):
+    taken = lambda: sorted(((r.doc_id, r.taken) for r in mixing.mix(docs).collect()))
+    whole = taken()
+    monkeypatch.setattr(mixing, "CHUNK", 3)
+    assert taken() == whole
+    monkeypatch.setattr(mixing, "PART_ROWS", 1)
+    assert sum(n for _, n in taken()) == sum(n for _, n in whole)
+
+
 def test_language(spark, data, docs, tmp_path):
     got = queries.op6_language_id(spark, data)
     held = got.join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang_pred <> 'und'")
