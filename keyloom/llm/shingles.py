@@ -1,0 +1,107 @@
+"""Near copies by word shingles: MinHash bands give candidates, the Jaccard similarity of the whole sets decides."""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from keyloom.llm.common import Workspace, components, per_batch, pick, small_batches
+
+#: Sets are near copies if they share this part, as a fraction, of all that either has.
+LEAST = (4, 5)
+#: Of two such sets one of the bands' keys is equal but for (1 - 0.8 ** WIDTH) ** BANDS, one in 20,000.
+BANDS, WIDTH = 25, 5
+#: In a band's bucket each set is compared with so many before it: with all in buckets up to REACH + 1.
+REACH = 7
+
+AT_ONCE = 1 << 9
+_RANDOM = np.random.default_rng(42)
+_BY, _PLUS, _OF = (_RANDOM.integers(0, 1 << 63, BANDS * WIDTH, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(3))
+
+
+def shingle_set(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
+    """The distinct XXH64 of a text's shingles, sorted; a text of fewer words has one of all it has, a blank one none."""
+    from xxhash import xxh64_intdigest
+
+    tokens = (text or "").encode().lower().split()  # of bytes, both touch ASCII only
+    if not tokens:
+        return np.empty(0, np.uint64)
+    joined = b" ".join(tokens)
+    if len(tokens) <= words:
+        return np.array([xxh64_intdigest(joined, seed)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
+    starts = np.concatenate(([0], ends[: -words] + 1))
+    return np.unique(np.fromiter((xxh64_intdigest(joined[s:e], seed) for s, e in zip(starts.tolist(), ends[words - 1 :].tolist(), strict=True)), np.uint64, len(starts)))
+
+
+def bands(held: np.ndarray) -> np.ndarray:
+    """A key for each band of the set's least hashes, none for an empty set."""
+    if not len(held):
+        return np.empty(0, np.int64)
+    least = np.full(BANDS * WIDTH, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(held), AT_ONCE):
+        np.minimum(least, (held[k : k + AT_ONCE, None] * _BY + _PLUS).min(axis=0), out=least)
+    return (least * _OF).reshape(BANDS, WIDTH).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def _sketches(docs: DataFrame, words: int) -> DataFrame:
+    """(row, node, n, bands): the hash of the text's shingle set, zero for an empty one, its size and its keys."""
+    small_batches(docs.sparkSession)
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        from xxhash import xxh64_intdigest
+
+        sets = [shingle_set(t, words) for t in b.column(1).to_pylist()]
+        nodes = np.array([xxh64_intdigest(s.tobytes()) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], ["row", "node", "n", "bands"])
+
+    return pick(docs, "row", "text").mapInArrow(per_batch(run), "row long, node long, n long, bands array<long>")
+
+
+def _sets(docs: DataFrame, words: int) -> DataFrame:
+    """(node, held): the shingle set of each text of (node, text)."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, words).view(np.int64) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], ["node", "held"])
+
+    return pick(docs, "node", "text").mapInArrow(per_batch(run), "node long, held array<long>")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose sets are near copies."""
+    part, whole = LEAST
+    a, b = sets.select(F.col("node").alias("a"), F.col("held").alias("held_a")), sets.select(F.col("node").alias("b"), F.col("held").alias("held_b"))
+    both = F.size(F.array_intersect("held_a", "held_b"))
+    return pairs.join(a, "a").join(b, "b").where((part + whole) * both >= part * (F.size("held_a") + F.size("held_b"))).select("a", "b")
+
+
+def similar(docs: DataFrame, words: int = 5) -> DataFrame:
+    """Every row of ``docs``, (row, text), as (row, group): alike for texts that links of similarity LEAST or more connect.
+
+    Equal shingle sets, told by a 64-bit hash, are one node, so groups of copies of any size cost one sketch. A bucket's
+    sets are compared with the REACH before them, so that a large bucket costs a multiple of its rows: first neighbours
+    alone, then those further off that are still apart. Every link is verified on the whole sets.
+    """
+    work = Workspace(docs.sparkSession, "shingles")
+    sketches = work.table(_sketches(docs, words), "sketches")
+    nodes = work.table(sketches.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.min("row").alias("row")), "nodes")
+    emitted = nodes.select("node", "n", F.explode("bands").alias("key"))
+    order = Window.partitionBy("key").orderBy("node")
+    before = [F.lag(F.struct("node", "n", F.lit(k).alias("k")), k).over(order) for k in range(1, REACH + 1)]
+    met = emitted.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.array(*before).alias("before")).where("before[0] is not null")
+    met = met.select("b", "n_b", F.explode("before").alias("o")).where("o is not null and o.node <> b").where(LEAST[1] * F.least("n_b", "o.n") >= LEAST[0] * F.greatest("n_b", "o.n"))
+    pairs = work.table(met.select(F.col("o.node").alias("a"), "b", "o.k").groupBy("a", "b").agg(F.min("k").alias("k")), "pairs")
+    asked = work.table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
+    asked = work.table(nodes.select("node", "row").join(asked, "node", "left_semi").select("node", F.col("row").alias("of")), "asked-rows")
+    sets = work.table(_sets(docs.join(asked, F.col("row") == F.col("of")).select("node", "text"), words), "sets")
+
+    links = work.table(_verified(pairs.where("k = 1"), sets), "links-1")
+    roots = work.table(components(work, links, "a", "b"), "roots-1")
+    r_a, r_b = roots.select(F.col("node").alias("a"), F.col("root").alias("root_a")), roots.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
+    apart = pairs.where("k > 1").join(r_a, "a", "left").join(r_b, "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    more = work.table(_verified(apart, sets), "links-2")
+    if not more.isEmpty():
+        roots = work.table(components(Workspace(docs.sparkSession, "shingles-more"), links.union(more), "a", "b"), "roots-2")
+    return sketches.select("row", "node").join(roots, "node", "left").select("row", F.coalesce("root", "node").alias("group"))

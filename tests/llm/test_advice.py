@@ -1,9 +1,11 @@
 """Cases that a review found cut short."""
 
+import random
 from collections import Counter
 
 import corpus_pipeline as p
 from keyloom.llm import mixing
+from tests.llm import brute
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -28,3 +30,34 @@ def test_stages_tell_rows_of_one_doc_id_apart(spark, tmp_path):
     for r in mixing.mix(docs).collect():
         want[r.doc_id] += r.copies
     assert Counter(r.doc_id for r in p.source_weights(spark, docs, "").collect()) == +want
+
+
+def jaccard(rows):
+    """Every (doc_id, smallest doc_id it is linked to) and the links, of similarity 0.8 on five words or more."""
+    sets = {}
+    for i, t in rows:
+        w = brute.words((t or "").translate(brute.LOWER))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    links = [(a, b) for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    return brute.components(list(sets), links), links
+
+
+def test_stages_drop_near_copies_of_similarity_08(spark):
+    rnd = random.Random(7)
+    rows = []
+    for size, changed in [(500, 1), (500, 4), (500, 8), (200, 1), (200, 4), (60, 1), (60, 2), (60, 6)]:
+        for _ in range(10):
+            words = [f"v{rnd.randrange(5000)}" for _ in range(size)]
+            other = list(words)
+            for k in rnd.sample(range(size), changed):
+                other[k] = "changed"
+            rows += [(len(rows), " ".join(words), "a"), (len(rows) + 1, " ".join(other), "a")]
+    words = [f"u{rnd.randrange(5000)}" for _ in range(300)]
+    for k in range(60):  # a group in which each has one word of its own
+        rows.append((len(rows), " ".join(words[: 5 * k] + [f"own{k}"] + words[5 * k + 1 :]), "a"))
+    docs = corpus(spark, rows)
+    for name, stage in p.STAGES[1:-2]:
+        docs = stage(spark, docs, "")
+    roots, links = jaccard([r[:2] for r in rows])
+    assert len(links) > 1000
+    assert sorted(r.doc_id for r in docs.collect()) == sorted(set(roots.values()))
