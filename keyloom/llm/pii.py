@@ -103,15 +103,15 @@ def disclosing_terms(docs: DataFrame, pairs: DataFrame, n_docs: int, threshold:
     """(entity, term) whose pointwise mutual information reaches ``threshold`` of the entity's information; None if none can.
 
     ``pairs`` holds (entity, term, context). A context that copies of a text repeat is counted once, as it tells
-    nothing new. How many documents hold a term is counted over the whole texts of all, for terms that a pair of enough
-    support has.
+    nothing new; so are documents, ``n_docs`` and those that hold a term, over the whole texts of all, for terms that a
+    pair of enough support has.
     """
     both = pairs.select("context", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
     both = work.table(both, "together")
     if both.isEmpty():
         return None
     entities = pairs.select("context", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+    words = docs.select(F.xxhash64("text").alias("h"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")).distinct()
     terms = words.groupBy("term").agg(F.count("*").alias("n_term")).join(both.select("term").distinct(), "term")
     n = F.lit(float(n_docs))
     told = F.log(F.col("n_both") * n / (F.col("n_entity") * F.greatest("n_term", "n_both"))) / F.greatest(F.log(n / F.col("n_entity")), F.lit(1e-9))
@@ -132,7 +132,7 @@ def find_personal_data(docs: DataFrame, threshold: float = THRESHOLD, support: i
     found = work.table(found, "found")  # fixes the row numbers
     pairs = found.where("near is not null").select("rid", "base", F.explode("near").alias("t")).select("rid", "t.*", "base")
     pairs = pairs.where(~F.exists("base", lambda s: (F.col("start") < s["end"]) & (s["start"] < F.col("end")))).drop("base")
-    told = disclosing_terms(texts, pairs, found.count(), threshold, support, work)
+    told = disclosing_terms(texts, pairs, texts.select(F.xxhash64("text")).distinct().count(), threshold, support, work)
     none = F.expr("cast(array() as array<struct<start:int,end:int,kind:string>>)")
     if told is None:
         return found.select("doc_id", "base", none.alias("terms"))

@@ -4,7 +4,7 @@ import random
 from collections import Counter
 
 import corpus_pipeline as p
-from keyloom.llm import mixing
+from keyloom.llm import mixing, pii
 from tests.llm import brute
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -61,3 +61,16 @@ def test_stages_drop_near_copies_of_similarity_08(spark):
     roots, links = jaccard([r[:2] for r in rows])
     assert len(links) > 1000
     assert sorted(r.doc_id for r in docs.collect()) == sorted(set(roots.values()))
+
+
+def terms_of(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    text = dict(rows)
+    return {r.doc_id: sorted(text[r.doc_id][t.start : t.end] for t in r.terms) for r in pii.find_personal_data(df).collect()}
+
+
+def test_copies_change_no_disclosing_term(spark):
+    rows = [(k, f"the owner Zorblatt writes to boss@x.org from home {k}") for k in range(3)] + [(k, f"the owner of {k} writes from home to nobody") for k in range(3, 60)]
+    copied = rows + [(100 + k, rows[k % 3][1]) for k in range(120)]
+    once, often = terms_of(spark, rows), terms_of(spark, copied)
+    assert once[0] == ["Zorblatt"] and all(often[k] == once[k] for k in range(60)) and often[100] == ["Zorblatt"]
