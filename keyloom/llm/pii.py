@@ -18,9 +18,7 @@ KINDS = {
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 TERM = r"[\p{L}][\p{L}\p{N}]*+"
 
-#: Code points on either side of an entity in which terms count as its context.
-CONTEXT = 64
-#: A term is disclosed if it tells this share of an entity's information, in at least so many different contexts.
+#: A term is disclosed if it tells this share of an entity's information, in at least so many different texts.
 THRESHOLD, SUPPORT = 0.5, 3
 
 CHUNK = 256
@@ -84,60 +82,74 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*found))
 
 
-def context_terms(spans: Column, text: Column) -> Column:
-    """array<struct<entity, term, context, start, end>>: the whole words within CONTEXT of each span, with a hash of what stands there."""
+def entity_of(span: Column) -> Column:
+    """The span's kind and what it names: addresses in lower case, numbers as their digits."""
+    return F.concat(span["kind"], F.lit(":"), F.lower(F.when(span["kind"].isin("email", "ip"), span["text"]).otherwise(F.regexp_replace(span["text"], "[^0-9]", ""))))
 
-    def around(s: Column) -> Column:
-        left_at = F.greatest(F.lit(0), s["start"] - CONTEXT)
-        left = F.substring(text, left_at + 1, s["start"] - left_at)
-        right = F.substring(text, s["end"] + 1, F.lit(CONTEXT))
-        before = F.filter(located(left, TERM, left_at), lambda t: (t["start"] > left_at) | (left_at == 0))
-        after = F.filter(located(right, TERM, s["end"]), lambda t: (t["end"] < s["end"] + CONTEXT) & (t["start"] > s["end"]))
-        entity = F.concat(s["kind"], F.lit(":"), F.lower(F.when(s["kind"] == "email", s["text"]).when(s["kind"] == "ip", s["text"]).otherwise(F.regexp_replace(s["text"], "[^0-9]", ""))))
-        return F.transform(F.concat(before, after), lambda t: F.struct(entity.alias("entity"), F.lower(t["text"]).alias("term"), F.xxhash64(left, right).alias("context"), t["start"].alias("start"), t["end"].alias("end")))
 
-    return F.flatten(F.transform(spans, around))
+def rare_terms(texts: DataFrame, copied: DataFrame, n_docs: int, n_entity: int, threshold: float, support: int) -> DataFrame:
+    """(term, n_term): in how many different texts (h, text) stand the terms that can tell ``threshold`` of an entity ``n_entity`` texts hold, or fewer.
+
+    As a pair has no more texts than its entity, what a term tells is log(n / n_term) at most. Each of the n copies of
+    a text, (h, n) of ``copied``, counts as 1 / n of one, which sums to whole numbers but for the rounding.
+    """
+    most = n_docs * (n_entity / n_docs) ** threshold * (1 + 1e-6)
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
+    part = F.coalesce(1.0 / F.col("n"), F.lit(1.0)).alias("part")
+    terms = texts.join(copied, "h", "left").select(part, F.explode(words).alias("term")).groupBy("term").agg(F.round(F.sum("part")).cast("long").alias("n_term"))
+    return terms.where((F.col("n_term") >= support) & (F.col("n_term") <= most))
 
 
-def disclosing_terms(docs: DataFrame, pairs: DataFrame, n_docs: int, threshold: float, support: int, work: Workspace) -> DataFrame | None:
-    """(entity, term) whose pointwise mutual information reaches ``threshold`` of the entity's information; None if none can.
+def disclosing_terms(held: DataFrame, beside: DataFrame, n_docs: int, threshold: float, support: int) -> DataFrame:
+    """(entity, term) whose pointwise mutual information, by texts, reaches ``threshold`` of the entity's information.
 
-    ``pairs`` holds (entity, term, context). A context that copies of a text repeat is counted once, as it tells
-    nothing new; so are documents, ``n_docs`` and those that hold a term, over the whole texts of all, for terms that a
-    pair of enough support has.
+    ``held`` holds (h, entity, n_entity), ``beside`` (h, term, n_term), each once a text ``h``, so that copies tell
+    nothing new. Pairs that could not reach the threshold in any number of texts are left out before they are counted.
     """
-    both = pairs.select("context", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
-    both = work.table(both, "together")
-    if both.isEmpty():
-        return None
-    entities = pairs.select("context", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    words = docs.select(F.xxhash64("text").alias("h"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")).distinct()
-    terms = words.groupBy("term").agg(F.count("*").alias("n_term")).join(both.select("term").distinct(), "term")
     n = F.lit(float(n_docs))
+    within = F.col("n_term") <= n * F.pow(F.col("n_entity") / n, F.lit(float(threshold))) * (1 + 1e-6)
+    both = held.join(beside, "h").where(within).groupBy("entity", "term", "n_entity", "n_term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
     told = F.log(F.col("n_both") * n / (F.col("n_entity") * F.greatest("n_term", "n_both"))) / F.greatest(F.log(n / F.col("n_entity")), F.lit(1e-9))
-    return both.join(entities, "entity").join(terms, "term").where(told >= threshold).select("entity", "term")
+    return both.where(told >= threshold).select("entity", "term")
 
 
 def find_personal_data(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
     """Every row of ``docs`` as (doc_id, base, terms): arrays of struct<start, end, kind>, in code points, end exclusive.
 
-    ``base`` are the four patterns' valid matches by start, then kind as listed; ``terms`` are the words that disclose
-    an entity beside which they stand, by start, outside all base spans. Null texts are empty and have neither; rows
-    that repeat are documents of their own; an empty table gives an empty one.
+    ``base`` are the four patterns' valid matches by start, then kind as listed; ``terms`` are all places of the words
+    that disclose an entity the text holds, anywhere in it, by start, outside all base spans. Null texts are empty and
+    have neither; rows that repeat are documents of their own; an empty table gives an empty one.
     """
     work = Workspace(docs.sparkSession, "pii")
     texts = pick(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = texts.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text", base_spans(F.col("text")).alias("base"))
-    found = found.select("rid", "doc_id", F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))).alias("base"), F.when(F.size("base") > 0, context_terms(F.col("base"), F.col("text"))).alias("near"))
-    found = work.table(found, "found")  # fixes the row numbers
-    pairs = found.where("near is not null").select("rid", "base", F.explode("near").alias("t")).select("rid", "t.*", "base")
-    pairs = pairs.where(~F.exists("base", lambda s: (F.col("start") < s["end"]) & (s["start"] < F.col("end")))).drop("base")
-    told = disclosing_terms(texts, pairs, texts.select(F.xxhash64("text")).distinct().count(), threshold, support, work)
+    texts = texts.withColumn("h", F.xxhash64("text"))
+    found = texts.select("doc_id", "text", "h", base_spans(F.col("text")).alias("base"))
+    entities = F.when(F.size("base") > 0, F.array_distinct(F.transform("base", entity_of)))
+    plain = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    found = work.table(found.select("doc_id", "h", plain.alias("base"), entities.alias("entities")), "found")
     none = F.expr("cast(array() as array<struct<start:int,end:int,kind:string>>)")
-    if told is None:
+
+    sizes = work.table(found.groupBy("h").agg(F.count("*").alias("n")), "sizes")
+    n_docs = sizes.count()
+    of = found.where("entities is not null").select("h", F.explode("entities").alias("entity")).distinct()
+    often = work.table(of.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support), "often")
+    most = often.agg(F.max("n_entity")).first()[0]
+    if most is None:
         return found.select("doc_id", "base", none.alias("terms"))
-    spans = pairs.join(told, ["entity", "term"]).groupBy("rid").agg(F.array_sort(F.collect_set(F.struct("start", "end", F.lit("term").alias("kind")))).alias("terms"))
-    return found.join(spans, "rid", "left").select("doc_id", "base", F.coalesce("terms", none).alias("terms"))
+    held = work.table(of.join(often, "entity"), "held")
+    rare = work.table(rare_terms(texts, work.table(sizes.where("n > 1"), "copied"), n_docs, most, threshold, support), "rare")
+
+    # Only texts that hold such an entity are read word by word, each once however often it is copied.
+    asked = work.table(held.select("h").distinct(), "asked")
+    words = F.transform(located(F.col("text"), TERM), lambda t: F.struct(F.lower(t["text"]).alias("term"), t["start"].alias("start"), t["end"].alias("end")))
+    read = texts.select("h", "text").join(asked, "h", "left_semi").dropDuplicates(["h"])
+    bases = found.where("entities is not null").select("h", "base").join(asked, "h", "left_semi").dropDuplicates(["h"])
+    places = read.select("h", F.explode(words).alias("w")).select("h", "w.*").join(rare, "term").join(bases, "h")
+    places = work.table(places.where(~F.exists("base", lambda s: (F.col("start") < s["end"]) & (s["start"] < F.col("end")))).drop("base"), "places")
+    told = work.table(disclosing_terms(held, places.select("h", "term", "n_term").distinct(), n_docs, threshold, support), "told")
+    marked = held.join(told, "entity").select("h", "term").distinct()
+    spans = places.join(marked, ["h", "term"]).groupBy("h").agg(F.array_sort(F.collect_set(F.struct("start", "end", F.lit("term").alias("kind")))).alias("terms"))
+    return found.join(work.table(spans, "terms"), "h", "left").select("doc_id", "base", F.coalesce("terms", none).alias("terms"))
 
 
 def count_of(spans: Column, kind: str) -> Column:

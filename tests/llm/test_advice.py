@@ -74,3 +74,12 @@ def test_copies_change_no_disclosing_term(spark):
     copied = rows + [(100 + k, rows[k % 3][1]) for k in range(120)]
     once, often = terms_of(spark, rows), terms_of(spark, copied)
     assert once[0] == ["Zorblatt"] and all(often[k] == once[k] for k in range(60)) and often[100] == ["Zorblatt"]
+
+
+def test_terms_are_found_anywhere_in_a_text(spark):
+    far = " ".join(["and so on it goes"] * 40)
+    rows = [(k, f"Zorblatt is the head {far} mail boss@x.org {k} {far} signed Quuxham, and again ZORBLATT") for k in range(4)] + [(k, f"the head is of {k} {far} mail signed and again") for k in range(4, 80)]
+    rows += [(200, f"Zorblatt {far} and nobody else"), (201, f"see boss@x.org {far}")]
+    got = terms_of(spark, rows)
+    assert all(got[k] == ["Quuxham", "ZORBLATT", "Zorblatt"] for k in range(4))
+    assert not any(got[k] for k in got if k > 3)
