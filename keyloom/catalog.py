@@ -61,6 +61,7 @@ add("zcount", lambda v: Z.count_between(v.zset, "score", 0.0, 5000.0), "SELECT k
 add("zcount_exclusive", lambda v: Z.count_between(v.spend, "score", 100000.0, None, open_low=True), "SELECT key, count(*) FILTER (WHERE score > 100000) AS n FROM {spend} GROUP BY 1")
 add("zlexcount", lambda v: Z.count_between(v.spend, "member", "1", "3", False, True), "SELECT key, count(*) FILTER (WHERE member >= '1' AND member < '3') AS n FROM {spend} GROUP BY 1")
 add("zscore", lambda v: v.zset.where("member like '%7'").select("key", "member", "score"), "SELECT key, member, score FROM {zset} WHERE member LIKE '%7'")
+add("zscore_all", lambda v: v.zset.select("key", "member", "score"), "SELECT key, member, score FROM {zset}")
 add("zmscore", lambda v: Z.scores(v.zset, ask(v)), f"SELECT q.idx, q.key, q.member, z.score FROM {ASK_SQL} LEFT JOIN {{zset}} z ON z.key = q.key AND z.member = q.member")
 add("zrank", lambda v: Z.rank(v.zset), f"SELECT key, member, score, {RANKED} AS rank FROM {{zset}}")
 add("zrevrank", lambda v: Z.rank(v.zset, True), f"SELECT key, member, score, {REVERSED} AS rank FROM {{zset}}")
@@ -146,6 +147,7 @@ add("sadd", lambda v: S.add(v.set, sask(v)), f"SELECT key, member FROM {{kset}}
 add("srem", lambda v: S.remove(v.set, sask(v)), f"SELECT key, member FROM {{kset}} EXCEPT SELECT key, member FROM {SASK_SQL}")
 add("scard", lambda v: v.set.groupBy("key").agg(F.count("*").alias("n")), "SELECT key, count(*) AS n FROM {kset} GROUP BY 1")
 add("smembers", lambda v: v.set.where(F.col("key") == DAYS[0]), f"SELECT key, member FROM {{kset}} WHERE key = '{DAYS[0]}'")
+add("smembers_all", lambda v: v.set.select("key", "member"), "SELECT key, member FROM {kset}")
 _SIS = f"SELECT q.idx, q.key, q.member, CAST(s.key IS NOT NULL AS INTEGER) AS found FROM {SASK_SQL} LEFT JOIN {{kset}} s ON s.key = q.key AND s.member = q.member"
 add("sismember", lambda v: S.is_member(v.set, sask(v).where("idx < 2")), _SIS + " WHERE q.idx < 2")
 add("smismember", lambda v: S.is_member(v.set, sask(v)), _SIS)
@@ -164,6 +166,7 @@ def kask(v: Keyspace) -> DataFrame:
 
 
 add("get", lambda v: K.live(v.str, NOW_MS).where("key like 'order:1%'").select("key", "value"), f"SELECT key, value FROM {{str}} WHERE (expire_at = 0 OR expire_at >= {NOW_MS}) AND key LIKE 'order:1%'")
+add("get_all", lambda v: K.live(v.str, NOW_MS).select("key", "value"), f"SELECT key, value FROM {{str}} WHERE expire_at = 0 OR expire_at >= {NOW_MS}")
 add("mget", lambda v: K.get(v.str, kask(v)), f"SELECT q.idx, q.key, s.value FROM {KASK_SQL} LEFT JOIN {{str}} s ON s.key = q.key")
 add("exists", lambda v: K.exists(v.str, kask(v)), f"SELECT count(*) AS n FROM {KASK_SQL} JOIN {{str}} s ON s.key = q.key")
 
@@ -232,6 +235,7 @@ add("dbsize", lambda v: state.visible(v.log, NOW_MS).agg(F.count("*").alias("n")
 add("flush", lambda v: state.latest(state.after_flush(v.log.withColumn("op", F.when(F.col("seq") % 4001 == 4000, "flush").otherwise(F.col("op"))))), "WITH f AS (SELECT *, (SELECT max(seq) FROM {log} WHERE seq % 4001 = 4000) AS fl FROM {log} WHERE seq % 4001 <> 4000), l AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS r FROM f WHERE fl IS NULL OR seq > fl) SELECT key, seq, op, value, expire_at FROM l WHERE r = 1")
 add("counters", lambda v: state.counters(v.log), "WITH r AS (SELECT *, sum(CASE WHEN op IN ('set', 'del') THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY seq) AS run FROM {log} WHERE op IN ('set', 'incr', 'del')), g AS (SELECT key, run, sum(CASE WHEN op = 'incr' THEN delta ELSE 0 END) AS value, count(*) FILTER (WHERE op = 'del') AS dels, count(*) AS n FROM r GROUP BY 1, 2), m AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY run DESC) AS k FROM g) SELECT key, CAST(value AS BIGINT) AS value FROM m WHERE k = 1 AND NOT (dels = 1 AND n = 1)")
 add("merge_batches", lambda v: state.merge(state.latest(v.log.where("seq % 2 = 0")), v.log.where("seq % 3 <> 1")), "WITH l AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS r FROM {log} WHERE seq % 2 = 0 OR seq % 3 <> 1) SELECT key, seq, op, value, expire_at FROM l WHERE r = 1")
+add("merge_batches_all", lambda v: state.merge(state.latest(v.log.where("seq % 2 = 0")), v.log.where("seq % 2 <> 0")), _LAST + " SELECT key, seq, op, value, expire_at FROM l")
 add("validate_limits", lambda v: state.valid(v.str.select("key", "value"), LIMITS | {"value": 8}), "SELECT key, value FROM {str} WHERE strlen(key) <= 256 AND strlen(value) <= 8")
 
 # Hashes --------------------------------------------------------------------------------------------------------------
@@ -249,6 +253,7 @@ add("hget", lambda v: v.hash.where("field = 'name'").select("key", "value"), "SE
 add("hmget", lambda v: H.get(v.hash, hask(v)).select("idx", "key", "field", "value"), f"SELECT q.idx, q.key, q.field, h.value {_HGET}")
 add("hmget_wide", lambda v: H.wide(v.hash, ["segment", "nation"]), "SELECT key, max(value) FILTER (WHERE field = 'segment') AS segment, max(value) FILTER (WHERE field = 'nation') AS nation FROM {hash} GROUP BY 1")
 add("hgetall", lambda v: v.hash.where("key like 'customer:1%'"), "SELECT key, field, value FROM {hash} WHERE key LIKE 'customer:1%'")
+add("hgetall_all", lambda v: v.hash.select("key", "field", "value"), "SELECT key, field, value FROM {hash}")
 add("hkeys", lambda v: v.hash.select("key", "field"), "SELECT key, field FROM {hash}")
 add("hvals", lambda v: v.hash.select("key", "value"), "SELECT key, value FROM {hash}")
 add("hlen", lambda v: v.hash.groupBy("key").agg(F.count("*").alias("n")), "SELECT key, count(*) AS n FROM {hash} GROUP BY 1")

@@ -1,0 +1,23 @@
+"""Reference queries over all keys, which a review found registered over a part of them only."""
+
+import pytest
+
+from keyloom import catalog
+from keyloom.plans import state
+from keyloom.sources.views import NOW_MS, Keyspace
+
+WHOLE = {
+    "zscore_all": lambda v: v.zset,
+    "get_all": lambda v: v.str.where(f"expire_at = 0 or expire_at >= {NOW_MS}"),
+    "hgetall_all": lambda v: v.hash,
+    "smembers_all": lambda v: v.set,
+    "merge_batches_all": lambda v: state.latest(v.log),
+}
+
+
+@pytest.mark.parametrize("name", sorted(WHOLE))
+def test_all_keys(spark, data, name):
+    got = catalog.queries()[name](spark, data)
+    part = catalog.queries()[name.removesuffix("_all")](spark, data)
+    assert got.count() == WHOLE[name](Keyspace(spark, data)).count()
+    assert part.select(*got.columns).subtract(got).count() == 0 or name == "merge_batches_all"
