@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import Workspace, components, per_batch, pick, small_batches
+from keyloom.llm.common import Bloom, Workspace, build_bloom, components, per_batch, pick, small_batches
 
 #: Sets are near copies if they share this part, as a fraction, of all that either has.
 LEAST = (4, 5)
@@ -60,13 +60,17 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
     return pick(docs, "row", "text").mapInArrow(per_batch(run), "row long, node long, n long, bands array<long>")
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """(node, held): the shingle set of each text of (node, text)."""
+def _sets(docs: DataFrame, asked: Bloom, words: int) -> DataFrame:
+    """(row, held): the shingle set of each text of (row, text) whose row passes the filter."""
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, words).view(np.int64) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], ["node", "held"])
+    def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
+        passed = np.flatnonzero(asked.has(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
+        if not len(passed):
+            return None
+        part = b.take(pa.array(passed))
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t, words).view(np.int64) for t in part.column(1).to_pylist()], pa.list_(pa.int64()))], ["row", "held"])
 
-    return pick(docs, "node", "text").mapInArrow(per_batch(run), "node long, held array<long>")
+    return pick(docs, "row", "text").mapInArrow(per_batch(run), "row long, held array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -95,7 +99,8 @@ def similar(docs: DataFrame, words: int = 5) -> DataFrame:
     pairs = work.table(met.select(F.col("o.node").alias("a"), "b", "o.k").groupBy("a", "b").agg(F.min("k").alias("k")), "pairs")
     asked = work.table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
     asked = work.table(nodes.select("node", "row").join(asked, "node", "left_semi").select("node", F.col("row").alias("of")), "asked-rows")
-    sets = work.table(_sets(docs.join(asked, F.col("row") == F.col("of")).select("node", "text"), words), "sets")
+    passing = _sets(docs, build_bloom(asked.select("of"), asked.count()), words)  # so that no other text is shuffled
+    sets = work.table(passing.join(asked, F.col("row") == F.col("of")).select("node", "held"), "sets")
 
     links = work.table(_verified(pairs.where("k = 1"), sets), "links-1")
     roots = work.table(components(work, links, "a", "b"), "roots-1")
