@@ -6,6 +6,7 @@ import atexit
 import hashlib
 import os
 import pathlib
+import re
 import shutil
 import tempfile
 import uuid
@@ -28,9 +29,13 @@ BLOOM_BITS = 1 << 27
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a temporary one where it is unset."""
+    """The folder all executors share, from ``spark.checkpoint.dir``. Where it is unset, local mode gets a temporary one
+    and a cluster an error, as each executor would write to a disk of its own.
+    """
     set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not set_dir:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         set_dir = f"file://{tempfile.mkdtemp(prefix='keyloom-')}"
         spark.conf.set("spark.checkpoint.dir", set_dir)
         atexit.register(_delete, spark, set_dir)
@@ -64,8 +69,18 @@ class Workspace:
         df.write.options(**options).mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self, name: str) -> None:
-        _delete(self.spark, self.path(name))
+    def drop(self, *names: str) -> None:
+        for name in names:
+            _delete(self.spark, self.path(name))
+
+
+#: Rows of a table of numbers that may be sent to every executor: 8 MB a column of longs.
+SMALL_ROWS = 1_000_000
+
+
+def few_or_hashed(df: DataFrame, rows: int, most: int = SMALL_ROWS) -> DataFrame:
+    """The small side of a join: sent to all executors if its counted ``rows`` are few, else met in a shuffled hash table, so that the other side is never sorted."""
+    return F.broadcast(df) if rows <= most else df.hint("shuffle_hash")
 
 
 def driver_folder() -> str:

@@ -2,107 +2,136 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm.common import Workspace, pick, small_batches
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: A word is a letter and the letters and marks that follow it; digits, fractions and number signs are none.
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*+")
 
 #: Orders of the character n-grams, longest first; a word is read with a mark at both ends.
 ORDERS = (4, 3, 2, 1)
 
-#: The classifier is fitted on at most so many labelled rows, those of smallest hash, and so many languages.
-SAMPLE_ROWS, LANGUAGES = 20_000, 100
-#: The model holds at most so many words and, of each order, n-grams: the most frequent.
-WORDS, GRAMS = 60_000, 30_000
-#: Scores of unseen words that a worker remembers.
-REMEMBERED = 200_000
+#: The classifier is fitted on at most so many labelled rows, those of smallest hash.
+SAMPLE_ROWS = 20_000
+#: Bounds of the model: numbers, a term in a language each, of the words and of each order of n-grams. Only where the
+#: sample has more do the rarest terms go, so that a model of many languages fits in a worker's memory.
+WORD_CELLS, GRAM_CELLS = 8_000_000, 2_000_000
+#: Unseen words that a worker remembers, as numbers again.
+REMEMBERED_CELLS = 1_000_000
+#: A term that a language lacks counts as this share of its mean frequency in all.
+LACKING = 0.01
+
+AT_ONCE = 100_000
 
 
 def features(text: str | None) -> list[str]:
     return LETTERS.findall((text or "").lower())
 
 
-def _counted(docs: DataFrame) -> DataFrame:
-    """(lang, size, term, n): words as size 0, n-grams by their order; n-grams are counted once for each kind of word."""
+def grams(word: str, k: int) -> list[str]:
+    marked = f"^{word}$"
+    return [marked[i : i + k] for i in range(len(marked) - k + 1)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[str, Counter] = {}
-
-        def flushed() -> Iterator[pa.RecordBatch]:
-            for lang, seen in words.items():
-                out = [(0, w, n) for w, n in seen.items()]
-                grams = Counter()
-                for w, n in seen.items():
-                    marked = f"^{w}$"
-                    for k in ORDERS:
-                        for i in range(len(marked) - k + 1):
-                            grams[marked[i : i + k]] += n
-                out += [(len(g), g, n) for g, n in grams.items()]
-                for i in range(0, len(out), 50_000):
-                    part = out[i : i + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array([x[0] for x in part], pa.int32()), pa.array([x[1] for x in part], pa.string()), pa.array([x[2] for x in part], pa.int64())], ["lang", "size", "term", "n"])
-            words.clear()
 
+def _sent(rows: Counter, names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Counted tuples as rows, the count last."""
+    held = list(rows.items())
+    rows.clear()
+    for k in range(0, len(held), 50_000):
+        part = held[k : k + 50_000]
+        columns = [*zip(*(x for x, _ in part), strict=True), [n for _, n in part]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*kinds, pa.int64()], strict=True)], [*names, "n"])
+
+
+def _words(docs: DataFrame) -> DataFrame:
+    """(lang, term, n): every word of the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, Counter] = {}
         for b in batches:
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words.setdefault(lang, Counter()).update(w for w in features(text) if len(w) <= 60)
-            if sum(map(len, words.values())) > 200_000:
-                yield from flushed()
-        yield from flushed()
+                seen.setdefault(lang, Counter()).update(features(text))
+            if sum(map(len, seen.values())) > 200_000:
+                for lang, words in seen.items():
+                    yield from _sent(Counter({(lang, w): n for w, n in words.items()}), ["lang", "term"], [pa.string(), pa.string()])
+                seen.clear()
+        for lang, words in seen.items():
+            yield from _sent(Counter({(lang, w): n for w, n in words.items()}), ["lang", "term"], [pa.string(), pa.string()])
+
+    return docs.select("text", "lang").mapInArrow(run, "lang string, term string, n long").groupBy("lang", "term").agg(F.sum("n").alias("n"))
+
+
+def _grams(words: DataFrame) -> DataFrame:
+    """(lang, size, term, n): in how many places of different words of a language each n-gram stands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[str, int], Counter] = {}
+        for b in batches:
+            for lang, word in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for k in ORDERS:
+                    seen.setdefault((lang, k), Counter()).update(grams(word, k))
+            if sum(map(len, seen.values())) > 400_000:
+                for key, found in seen.items():
+                    yield from _sent(Counter({(*key, g): n for g, n in found.items()}), ["lang", "size", "term"], [pa.string(), pa.int32(), pa.string()])
+                seen.clear()
+        for key, found in seen.items():
+            yield from _sent(Counter({(*key, g): n for g, n in found.items()}), ["lang", "size", "term"], [pa.string(), pa.int32(), pa.string()])
+
+    return words.select("lang", "term").mapInArrow(run, "lang string, size int, term string, n long").groupBy("lang", "size", "term").agg(F.sum("n").alias("n"))
+
+
+class _Rows(dict):
+    """Word to its row in the model's table; a word that is met for the first time is scored and, while there is room, gets one."""
 
-    return docs.select("text", "lang").mapInArrow(run, "lang string, size int, term string, n long").groupBy("lang", "size", "term").agg(F.sum("n").alias("n"))
+    def __init__(self, model: Model) -> None:
+        super().__init__(model.tables[0][0])
+        self.model, self.late = model, []
+
+    def __missing__(self, word: str) -> int:
+        self.late.append(self.model.unseen(word))
+        self[word] = at = self.model.known + len(self.late) - 1
+        return at
 
 
 class Model:
-    """Log frequency of words and n-grams in each language; its size is bounded by WORDS, GRAMS and LANGUAGES."""
+    """Log frequencies of words and of n-grams of each order in each language, as (term to row, rows by language)."""
 
     def __init__(self, langs: list[str], tables: list[tuple[dict[str, int], np.ndarray]]) -> None:
         self.langs, self.tables = langs, tables
-        self.rows: dict[str, int] = {}
-        self.kept: np.ndarray | None = None
+        self.known = len(tables[0][0]) if tables else 0
+        self.rows: _Rows | None = None
 
     def __getstate__(self) -> dict:
-        return {"langs": self.langs, "tables": self.tables, "rows": {}, "kept": None}
+        return {"langs": self.langs, "tables": self.tables, "known": self.known, "rows": None}
 
     def unseen(self, word: str) -> np.ndarray:
         """The mean over the known n-grams of the longest order that has any; zeros if none has."""
-        marked = f"^{word}$"
         for k, (index, logs) in zip(ORDERS, self.tables[1:], strict=True):
-            found = [at for i in range(len(marked) - k + 1) if (at := index.get(marked[i : i + k])) is not None]
-            if found:
-                return logs[found].mean(axis=0)
+            if found := [at for g in grams(word, k) if (at := index.get(g)) is not None]:
+                return logs[found].mean(axis=0, dtype=np.float64)
         return np.zeros(len(self.langs))
 
     def scores(self, words: list[str]) -> np.ndarray:
         """Mean score a word, by language."""
-        index, logs = self.tables[0]
-        known: dict[int, int] = {}
+        if self.rows is None or len(self.rows.late) * len(self.langs) > REMEMBERED_CELLS:
+            self.rows = _Rows(self)
         total = np.zeros(len(self.langs))
-        late: dict[int, int] = {}
-        if self.kept is None:
-            self.kept = np.zeros((REMEMBERED, len(self.langs)))
-        for w, n in Counter(words).items():
-            if (at := index.get(w)) is not None:
-                known[at] = n
-            elif (at := self.rows.get(w)) is not None:
-                late[at] = n
-            else:
-                score = self.unseen(w)
-                if len(self.rows) < REMEMBERED and len(w) <= 60:
-                    self.kept[len(self.rows)] = score
-                    self.rows[w] = len(self.rows)
-                total += n * score
-        for found, table in ((known, logs), (late, self.kept)):
-            if found:
-                total += np.fromiter(found.values(), float, len(found)) @ table[np.fromiter(found, np.int64, len(found))]
+        for lo in range(0, len(words), AT_ONCE):
+            at = np.fromiter(map(self.rows.__getitem__, part := words[lo : lo + AT_ONCE]), np.int64, len(part))
+            old = at < self.known
+            total += self.tables[0][1][at[old]].sum(axis=0, dtype=np.float64)
+            if not old.all():
+                times = Counter((at[~old] - self.known).tolist())
+                total += np.fromiter(times.values(), float, len(times)) @ np.array([self.rows.late[k] for k in times])
         return total / len(words)
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -115,8 +144,17 @@ class Model:
         return self.langs[best], float(p[best] / p.sum())
 
 
+def log_frequencies(counts: np.ndarray) -> np.ndarray:
+    """Of counts by term and language: the log of each share of its language's total and a part of the term's mean share."""
+    share = counts / np.maximum(counts.sum(axis=0), 1)
+    return np.log(share + LACKING * share.mean(axis=1, keepdims=True)).astype(np.float32)
+
+
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """From the rows of ``docs`` whose lang is not null; frequencies are smoothed with half a count. No rows: no languages."""
+    """A model of every language in the sample of those rows of ``docs`` whose lang is not null. No such rows: no languages.
+
+    What reaches the driver are the sample's counted terms, at most WORD_CELLS and GRAM_CELLS of them.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     labelled = pick(docs, "doc_id", "text", "lang").where("lang is not null").withColumn("h", F.xxhash64("doc_id", F.lit(11)))
@@ -124,25 +162,31 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     if last is None:
         return Model([], [])
     work = Workspace(spark, "langid")
-    counted = work.table(_counted(labelled.where(F.col("h") <= last)), "counted")
-    langs = sorted(r[0] for r in counted.where("size = 0").groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect())
-    counted = counted.where(F.col("lang").isin(langs))
-    totals = {(r[0], r[1]): r[2] for r in counted.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()}
-    terms = counted.groupBy("size", "term").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
+    words = work.table(_words(labelled.where(F.col("h") <= last)), "words")
+    counted = work.table(words.select("lang", F.lit(0).alias("size"), "term", "n").union(_grams(words.repartition(spark.sparkContext.defaultParallelism))), "counted")
+    langs = sorted(r[0] for r in words.select("lang").distinct().collect())
     tables = []
     for size in (0, *ORDERS):
-        top = terms.where((F.col("size") == size) & (F.col("all") > 1)).orderBy(F.desc("all"), "term").limit(WORDS if size == 0 else GRAMS).select("term", "by").collect()
-        counts = np.array([[r[1].get(x, 0) for x in langs] for r in top], float).reshape(len(top), len(langs))
-        whole = np.array([totals.get((x, size), 0) for x in langs], float)
-        tables.append(({r[0]: i for i, r in enumerate(top)}, np.log((counts + 0.5) / (whole + 0.5 * (len(top) + 1)))))
+        own = counted.where(F.col("size") == size)
+        most = (GRAM_CELLS if size else WORD_CELLS) // max(1, len(langs))
+        if own.select("term").distinct().count() > most:
+            own = own.join(own.groupBy("term").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "term").limit(most), "term", "left_semi")
+        got = own.select("term", "lang", "n").toArrow()
+        at, terms = pd.factorize(got["term"].to_pandas(), sort=True)
+        counts = np.zeros((len(terms), len(langs)))
+        counts[at, np.searchsorted(langs, got["lang"].to_pylist())] = got["n"].to_numpy()
+        tables.append((dict(zip(terms.tolist(), range(len(terms)), strict=True)), log_frequencies(counts)))
+    work.drop("words", "counted")
     return Model(langs, tables)
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """Every row of ``docs`` as (doc_id, lang_pred, score), or with the columns of ``keep``: only the text is judged.
 
-    Texts without a letter, null and empty ones included, are ``und`` with score 0. Ties go to the first language by
-    name. The score is the posterior under equal priors of at most 50 words' mean evidence.
+    Texts without a letter, null and empty ones included, are ``und`` with score 0; so are all without a model. Very
+    long texts are scored in parts of AT_ONCE words. Ties go to the first language by name. The score is the posterior
+    under equal priors of at most 50 words' mean evidence. Rows that repeat are judged alike, other columns of ``docs``
+    do not matter, and an empty table gives an empty one.
     """
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
