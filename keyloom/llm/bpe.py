@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import math
 import mmap
 import os
 import struct
@@ -25,9 +26,10 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 #: The lexicon holds at most so many words, the most frequent of the corpus, none longer than this in bytes.
 LEXICON_WORDS, LEXICON_LENGTH = 50_000, 64
-COUNTED = 100_000
+#: Counts are told apart by so many steps to each doubling, when the least of the lexicon is looked for.
+STEPS = 64
 #: Words a worker remembers, twice: those met of late and those met before them; and the longest it remembers.
-REMEMBERED, REMEMBERED_LENGTH = 600_000, 64
+REMEMBERED, REMEMBERED_LENGTH = 300_000, 64
 
 
 def byte_symbols() -> dict[str, int]:
@@ -211,10 +213,11 @@ def decoded(vocabulary: Vocabulary, ids: np.ndarray) -> str:
 
 
 def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS) -> list[str]:
-    """Of all texts, the words between ASCII blanks that occur at least so often that ``most`` at most do, in order.
+    """Of all texts, the ``most`` words between ASCII blanks that occur most often, at most, in order.
 
-    Tasks count in memory and send their counts on when it is full. The least count is read off the number of words by
-    count, where counts over COUNTED are one, so what reaches the driver is bounded.
+    Tasks count in memory and send their counts on when it is full. The number of words by count, in steps, tells which
+    steps are taken whole; of the next one words are taken by their hash, so that what reaches the driver is bounded
+    however the counts lie.
     """
     small_batches(docs.sparkSession)
 
@@ -235,13 +238,19 @@ def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS) -> list[str]:
         yield from flushed()
 
     work = Workspace(docs.sparkSession, "bpe")
-    counted = work.table(pick(docs, "text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "counted")
-    least, held = COUNTED + 1, 0
-    for n, words in sorted(counted.groupBy(F.least("n", F.lit(COUNTED))).count().collect(), reverse=True):
+    counted = pick(docs, "text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    counted = work.table(counted.select("word", F.floor(F.log2("n") * STEPS).cast("int").alias("step")), "counted")
+    least, held, part = None, 0, 0.0
+    for step, words in sorted(counted.groupBy("step").count().collect(), reverse=True):  # a row a step: 64 a doubling
         if held + words > most:
+            least, part = step, (most - held) / words
             break
-        least, held = n, held + words
-    return sorted(r[0] for r in counted.where(F.col("n") >= least).select("word").collect())
+        held += words
+    whole = F.col("step") > least if least is not None else F.lit(True)
+    some = (F.col("step") == (least or 0)) & (F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < math.floor(part * (1 << 20)))
+    got = sorted(r[0] for r in counted.where(whole | some if least is not None else whole).select("word").limit(most).collect())
+    work.drop("counted")
+    return got
 
 
 def ship_lexicon(spark: SparkSession, block: bytes) -> str:
@@ -266,13 +275,8 @@ def _encoder(name: str, vocabulary: Vocabulary) -> Encoder:
     return _encoders[name]
 
 
-def round_trip(docs: DataFrame, tokenizer_file: str, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
-    """Every row of ``docs`` as (doc_id, ids array<int>, decoded string).
-
-    Whole texts are encoded as the tokenizers library does without special tokens added; special tokens' strings in a
-    text become their ids. Null and empty texts have no ids. The lexicon only saves merging: any choice of its words
-    gives the same ids. Ids are decoded by their bytes, special tokens kept.
-    """
+def _encoded(docs: DataFrame, tokenizer_file: str, lexicon_words: int, back: bool) -> DataFrame:
+    """(doc_id, ids) and, if asked for, what they decode to."""
     spark = docs.sparkSession
     small_batches(spark)
     vocabulary = Vocabulary(tokenizer_file)
@@ -289,15 +293,29 @@ def round_trip(docs: DataFrame, tokenizer_file: str, lexicon_words: int = LEXICO
             for lo in range(0, len(texts), 500):
                 found = [np.frombuffer(encoder.encode(t), "<i4") for t in texts[lo : lo + 500]]
                 offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 500), ids, pa.array([decoded(encoder.vocabulary, x) for x in found], pa.string())], ["doc_id", "ids", "decoded"])
+                out = [b.column(0).slice(lo, 500), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found).astype(np.int32)))]
+                if back:
+                    out.append(pa.array([decoded(encoder.vocabulary, x) for x in found], pa.string()))
+                yield pa.RecordBatch.from_arrays(out, names)
+
+    names = ["doc_id", "ids", "decoded"] if back else ["doc_id", "ids"]
+    return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>" + ", decoded string" * back)
 
-    return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+
+def round_trip(docs: DataFrame, tokenizer_file: str, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
+    """Every row of ``docs`` as (doc_id, ids array<int>, decoded string).
+
+    Whole texts, however long, are encoded as the tokenizers library does without special tokens added; special tokens'
+    strings in a text become their ids. Null and empty texts have no ids. The lexicon only saves merging: any choice of
+    its words gives the same ids. Ids are decoded by their bytes, special tokens kept. Rows that repeat and null doc_ids
+    stay as they are, other columns of ``docs`` do not matter, and an empty table gives an empty one.
+    """
+    return _encoded(docs, tokenizer_file, lexicon_words, True)
 
 
 def encode(docs: DataFrame, tokenizer_file: str, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
-    """(doc_id, ids array<int>)."""
-    return round_trip(docs, tokenizer_file, lexicon_words).select("doc_id", "ids")
+    """(doc_id, ids array<int>) as of ``round_trip``, without decoding."""
+    return _encoded(docs, tokenizer_file, lexicon_words, False)
 
 
 def decode(rows: DataFrame, tokenizer_file: str) -> DataFrame:

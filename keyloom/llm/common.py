@@ -74,8 +74,8 @@ class Workspace:
             _delete(self.spark, self.path(name))
 
 
-#: Rows of a table of numbers that may be sent to every executor: 8 MB a column of longs.
-SMALL_ROWS = 1_000_000
+#: Rows of a table of numbers that may be sent to every executor: 2.4 MB a column of longs.
+SMALL_ROWS = 300_000
 
 
 def few_or_hashed(df: DataFrame, rows: int, most: int = SMALL_ROWS) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm.common import Bloom, Workspace, build_bloom, pick, small_batches
@@ -16,7 +17,6 @@ from keyloom.llm.lsm import RunIndex
 BLANKS = b" \t\n\x0b\x0c\r"
 
 
-
 def normalised(text: str | None) -> bytes:
     return (text or "").encode().translate(None, BLANKS)
 
@@ -67,12 +67,29 @@ def memtables(entries: DataFrame, most: int = 100_000) -> DataFrame:
     return entries.select("digest", "doc_id", "n_chars").mapInArrow(run, "digest string, best struct<n_chars:long,doc_id:long>, group_size long")
 
 
-def _index(work: Workspace, entries: DataFrame, batches: int) -> DataFrame:
+def _low(digest: str, digest_bytes: int) -> Column:
+    """A digest's first 64 bits, as the filters take them."""
+    return F.conv(F.rpad(F.substring(digest, 1, 16), min(16, 2 * digest_bytes), "0"), 16, -10).cast("long")
+
+
+def _index(work: Workspace, entries: DataFrame, batches: int, low: Column) -> DataFrame:
+    """(digest, best, group_size) of every digest that several rows share.
+
+    Each batch flushes a run of its digests. Those that it holds several times are shared, and so are those that pass the
+    filter of older runs and are found there. Only shared digests are read from all runs and put together.
+    """
     best = F.min_by("best", F.struct((-F.col("best.n_chars")).alias("n"), F.col("best.doc_id").isNull().alias("none"), F.col("best.doc_id").alias("doc_id")))
-    index = RunIndex(work, ["digest"], {"best": best, "group_size": F.sum("group_size")})
+    index = RunIndex(work, "digest", {"best": best, "group_size": F.sum("group_size")})
+    expected, hits = entries.count(), []
     for k in range(batches):
-        index.flush(memtables(entries.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k)))
-    return index.read()
+        name, run = index.bucketed(index.merged([memtables(entries.where(F.pmod(F.xxhash64("doc_id", "digest"), F.lit(batches)) == k))]))
+        found = run.where("group_size > 1").select("digest").union(index.old(run, low))
+        hits.append(work.table(found, f"hits-{k}"))
+        index.flush((name, run))
+        if k + 1 < batches:
+            index.note(run.select(low.alias("h")), expected)
+    shared = work.table(reduce(DataFrame.union, hits).distinct(), "shared")
+    return work.table(index.merged([run.join(shared, "digest", "left_semi") for run in index.runs()]), "index")
 
 
 def _texts_of(docs: DataFrame, hits: Bloom, digest_bytes: int) -> DataFrame:
@@ -95,33 +112,36 @@ def _texts_of(docs: DataFrame, hits: Bloom, digest_bytes: int) -> DataFrame:
 def exact_duplicates(docs: DataFrame, batches: int = 4, digest_bytes: int = 32) -> DataFrame:
     """Every row of ``docs`` as (doc_id, keep_id, group_size, kept, text_sha256).
 
-    Texts are equal when their bytes without ASCII blanks are; null counts as empty. Documents reach the index in
-    batches: memtables collapse each batch, runs flush sorted by digest, and compaction keeps the best row of each
-    digest. Digests that several rows share are hits, whose bytes are compared with those of the row that stays; rows
-    that differ, which takes a collision, are indexed anew under their whole bytes. A row is kept if it carries
-    keep_id and its length, so rows repeated with one doc_id are kept alike; rows with a null doc_id are never
-    preferred to others of their length and have a null keep_id and kept = true only where all of the group lack one.
+    Texts are equal when their bytes without ASCII blanks are; null counts as empty, and long texts are read whole.
+    Documents reach the index in batches: memtables collapse each batch, runs flush sorted by digest, and what is put
+    together keeps the best row of each digest. Digests that several rows share are hits, whose bytes are compared with
+    those of the row that stays; rows that differ, which takes a collision, are indexed anew under their whole bytes. A
+    row is kept if it carries keep_id and its length, so rows repeated with one doc_id are kept alike; rows with a null
+    doc_id are never preferred to others of their length and have a null keep_id and kept = true only where all of the
+    group lack one. Other columns of ``docs`` do not matter, and an empty table gives an empty one.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "exact")
+    low = _low("digest", digest_bytes)
     table = work.table(digests(docs, digest_bytes), "digests")
-    index = _index(work, table, batches)
-    shared = index.where("group_size > 1")
-    count = shared.count()
+    index = _index(work, table, batches, low)
+    count = index.count()
     if count:
-        low = F.conv(F.rpad(F.substring("digest", 1, 16), min(16, 2 * digest_bytes), "0"), 16, -10).cast("long")
-        bodies = _texts_of(docs, build_bloom(shared.select(low.alias("h")), count), digest_bytes)
-        stays = bodies.join(shared.select(F.col("digest").alias("of"), F.col("best.doc_id").alias("keep"), F.col("best.n_chars").alias("keep_chars")), (F.col("digest") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("keep")) & (F.col("n_chars") == F.col("keep_chars")))
+        bodies = work.table(_texts_of(docs, build_bloom(index.select(low.alias("h")), count), digest_bytes), "bodies")
+        stays = bodies.join(index.select(F.col("digest").alias("of"), F.col("best.doc_id").alias("keep"), F.col("best.n_chars").alias("keep_chars")), (F.col("digest") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("keep")) & (F.col("n_chars") == F.col("keep_chars")))
         # A table of its own, so that the join may split a digest that very many share.
         stays = work.table(stays.groupBy("digest").agg(F.min("body").alias("keep_body")).select(F.col("digest").alias("of"), "keep_body"), "stays")
         odd = bodies.join(stays, F.col("digest") == F.col("of")).where("body <> keep_body").select("doc_id", "n_chars", F.col("digest").alias("was"), F.hex("body").alias("body"))
         odd = work.table(odd, "collided")
+        work.drop("bodies", "stays")
         if not odd.isEmpty():
             again = odd.select("doc_id", "n_chars", "was", F.concat_ws(":", "was", "body").alias("now")).distinct()
             clean = table.join(again, table.doc_id.eqNullSafe(again.doc_id) & (table.n_chars == again.n_chars) & (table.digest == again.was), "left").select(table.doc_id, table.n_chars, "sha256", F.coalesce("now", "digest").alias("digest"))
             table = work.table(clean, "digests-apart")
-            index = _index(Workspace(spark, "exact-apart"), table, batches)
-    found = index.select(F.col("digest").alias("of"), F.col("best.doc_id").alias("keep_id"), F.col("best.n_chars").alias("keep_chars"), "group_size")
-    return table.join(found, F.col("digest") == F.col("of")).select(
-        "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars"))).alias("kept"), F.col("sha256").alias("text_sha256")
+            index = _index(Workspace(spark, "exact-apart"), table, batches, low)
+    found = index.select(F.col("digest").alias("of"), F.col("best.doc_id").alias("best_id"), F.col("best.n_chars").alias("keep_chars"), F.col("group_size").alias("shared_by"))
+    many = F.col("of").isNotNull()
+    stays = F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("n_chars") == F.col("keep_chars"))
+    return table.join(found, F.col("digest") == F.col("of"), "left").select(
+        "doc_id", F.when(many, F.col("best_id")).otherwise(F.col("doc_id")).alias("keep_id"), F.coalesce("shared_by", F.lit(1)).cast("long").alias("group_size"), F.when(many, stays).otherwise(True).alias("kept"), F.col("sha256").alias("text_sha256")
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +18,16 @@ KINDS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-TERM = r"[\p{L}][\p{L}\p{N}]*+"
+#: A term is a word of letters that no digit touches, so that terms share no character with numbers.
+TERM = r"(?<![\p{L}\p{M}\p{N}])\p{L}[\p{L}\p{M}]*+(?!\p{N})"
+#: A text without this holds no entity.
+MAYBE = r"@|\+[0-9]|[0-9]\.[0-9]++\.[0-9]++\.[0-9]|[0-9](?:[\x20-]?[0-9]){13}"
+#: The class of all entities, whatever their kind.
+ANY = "any"
 
-#: A term is disclosed if it tells this share of an entity's information, in at least so many different texts.
-THRESHOLD, SUPPORT = 0.5, 3
+#: A term is disclosed if it tells this share of an entity's information. For a value it must stand in so many different
+#: texts that hold it; for a class it must meet it so often that chance would do so for this many terms of the corpus.
+THRESHOLD, SUPPORT, CHANCE = 0.5, 3, 0.01
 
 CHUNK = 256
 
@@ -87,75 +95,128 @@ def entity_of(span: Column) -> Column:
     return F.concat(span["kind"], F.lit(":"), F.lower(F.when(span["kind"].isin("email", "ip"), span["text"]).otherwise(F.regexp_replace(span["text"], "[^0-9]", ""))))
 
 
-def rare_terms(texts: DataFrame, copied: DataFrame, n_docs: int, n_entity: int, threshold: float, support: int) -> DataFrame:
-    """(term, n_term): in how many different texts (h, text) stand the terms that can tell ``threshold`` of an entity ``n_entity`` texts hold, or fewer.
+def term_places(text: Column) -> Column:
+    """array<struct<start, end, text>>: the terms between emails, which alone of all base kinds hold letters, lower-cased."""
+    emails = located(F.when(F.contains(text, F.lit("@")), text).otherwise(""), KINDS["email"])
+    gaps = F.when(F.contains(text, F.lit("@")), F.split(text, KINDS["email"], -1)).otherwise(F.array(text))
+    starts = F.concat(F.array(F.lit(0)), F.transform(emails, lambda e: e["end"]))
+    return F.flatten(F.zip_with(gaps, starts, lambda gap, at: F.transform(located(gap, TERM, at), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.lower(t["text"]).alias("term")))))
 
-    As a pair has no more texts than its entity, what a term tells is log(n / n_term) at most. Each of the n copies of
-    a text, (h, n) of ``copied``, counts as 1 / n of one, which sums to whole numbers but for the rounding.
-    """
-    most = n_docs * (n_entity / n_docs) ** threshold * (1 + 1e-6)
+
+def told(both: Column, of_entity: Column, of_term: Column, n: float) -> Column:
+    """The share of an entity's information that a term tells: their pointwise mutual information over it."""
+    return F.log(both * n / (of_entity * of_term)) / F.greatest(F.log(n / of_entity), F.lit(1e-9))
+
+
+def surprise(both: Column, expected: Column) -> Column:
+    """By Chernoff's bound, how unlikely so many meetings are by chance, as a negative logarithm."""
+    return F.when(both > expected, both * F.log(both / expected) - both + expected).otherwise(0.0)
+
+
+def plain_counts(plain: DataFrame, asked: DataFrame) -> DataFrame:
+    """(term, n_plain): in how many different texts of ``plain``, (text, part), the terms of ``asked`` stand; each of n copies is a part of 1 / n, which sums to whole numbers but for the rounding."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
-    part = F.coalesce(1.0 / F.col("n"), F.lit(1.0)).alias("part")
-    terms = texts.join(copied, "h", "left").select(part, F.explode(words).alias("term")).groupBy("term").agg(F.round(F.sum("part")).cast("long").alias("n_term"))
-    return terms.where((F.col("n_term") >= support) & (F.col("n_term") <= most))
+    met = plain.select("part", F.explode(words).alias("term")).join(asked, "term", "left_semi")
+    return met.groupBy("term").agg(F.round(F.sum("part")).cast("long").alias("n_plain"))
 
 
-def disclosing_terms(held: DataFrame, beside: DataFrame, n_docs: int, threshold: float, support: int) -> DataFrame:
-    """(entity, term) whose pointwise mutual information, by texts, reaches ``threshold`` of the entity's information.
+def disclosing_terms(work: Workspace, held: DataFrame, words: DataFrame, plain: DataFrame, n_plain: int, threshold: float, support: int) -> DataFrame:
+    """(entity, term) of the terms that disclose an entity: a class, by its kind or ANY, or a value, ``kind:value``.
 
-    ``held`` holds (h, entity, n_entity), ``beside`` (h, term, n_term), each once a text ``h``, so that copies tell
-    nothing new. Pairs that could not reach the threshold in any number of texts are left out before they are counted.
+    ``held`` has a row a text with entities, (h, kinds, entities, record), ``words`` one a text and term, (h, term), and
+    ``plain`` the texts without, (text, part). For values all four numbers count different texts. For classes they count
+    records, which are different texts without entities, and different sets of entities: texts that tell of the same are
+    one, so that near copies of one text prove nothing. Both times the term must tell ``threshold`` of the entity.
     """
-    n = F.lit(float(n_docs))
-    within = F.col("n_term") <= n * F.pow(F.col("n_entity") / n, F.lit(float(threshold))) * (1 + 1e-6)
-    both = held.join(beside, "h").where(within).groupBy("entity", "term", "n_entity", "n_term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
-    told = F.log(F.col("n_both") * n / (F.col("n_entity") * F.greatest("n_term", "n_both"))) / F.greatest(F.log(n / F.col("n_entity")), F.lit(1e-9))
-    return both.where(told >= threshold).select("entity", "term")
+    n_texts, n_records = held.agg(F.count("*"), F.countDistinct("record")).first()
+    kinds = [*KINDS, ANY]
+    in_class = [F.max(F.array_contains("kinds", k).cast("int")).alias(k) for k in kinds]
+    of_class = work.table(held.groupBy("record").agg(*in_class), "records").agg(*[F.sum(k).alias(k) for k in kinds]).first().asDict()
+    rows = words.join(held.select("h", "record", "kinds"), "h").groupBy("term", "record").agg(F.count("*").alias("texts"), *in_class)
+    terms = work.table(rows.groupBy("term").agg(F.sum("texts").alias("n_texts"), F.count("*").alias("n_records"), *[F.sum(k).alias(k) for k in kinds]), "terms")
+    n_terms = terms.count()
+    limit = math.log(max(1, n_terms) * len(kinds) / CHANCE)
+    n, every = float(n_plain + n_records), float(n_plain + n_texts)
+
+    # Values that enough texts hold, and the terms that stand in enough of them.
+    often = held.select("h", F.explode("entities").alias("entity")).distinct()
+    often = work.table(often.join(often.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support), "entity"), "often")
+    most = often.agg(F.max("n_entity")).first()[0]
+    rare = (F.col("n_texts") >= support) & (F.col("n_texts") <= every * (most / every) ** threshold * (1 + 1e-6)) if most else F.lit(False)
+
+    # Counted in all other texts are only terms that could pass if none had them.
+    could = rare
+    for k in kinds:
+        if of_class[k]:
+            best = (told(F.col(k), F.lit(of_class[k]), F.col("n_records"), n) >= threshold) & (surprise(F.col(k), F.col("n_records") * (of_class[k] / n)) >= limit)
+            could = could | best
+    asked = work.table(terms.where(could).withColumn("id", F.lit(1)), "asked")
+    counted = asked.join(plain_counts(plain, asked.select("term")), "term", "left").withColumn("n_plain", F.coalesce("n_plain", F.lit(0)))
+    counted = work.table(counted.withColumn("all_texts", F.col("n_texts") + F.col("n_plain")).withColumn("all_records", F.col("n_records") + F.col("n_plain")), "counted")
+
+    tells = [F.when((F.col(k) > 0) & (told(F.col(k), F.lit(of_class[k]), F.col("all_records"), n) >= threshold) & (surprise(F.col(k), F.col("all_records") * (of_class[k] / n)) >= limit), F.lit(k)) for k in kinds if of_class[k]]
+    classes = counted.select(F.explode(F.array_compact(F.array(*tells))).alias("entity"), "term") if tells else counted.select(F.lit("").alias("entity"), "term").limit(0)
+    if most is None:
+        return classes
+    within = F.col("all_texts") <= every * F.pow(F.col("n_entity") / every, F.lit(float(threshold))) * (1 + 1e-6)
+    few = counted.where(rare & (F.col("all_texts") <= every * (most / every) ** threshold * (1 + 1e-6))).select("term", "all_texts")
+    pairs = often.join(words.join(few, "term"), "h").where(within).groupBy("entity", "term", "n_entity", "all_texts").agg(F.count("*").alias("both")).where(F.col("both") >= support)
+    return classes.union(pairs.where(told(F.col("both"), F.col("n_entity"), F.col("all_texts"), every) >= threshold).select("entity", "term"))
 
 
 def find_personal_data(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
     """Every row of ``docs`` as (doc_id, base, terms): arrays of struct<start, end, kind>, in code points, end exclusive.
 
     ``base`` are the four patterns' valid matches by start, then kind as listed; ``terms`` are all places of the words
-    that disclose an entity the text holds, anywhere in it, by start, outside all base spans. Null texts are empty and
-    have neither; rows that repeat are documents of their own; an empty table gives an empty one.
+    that disclose an entity the text holds, a value of it or its class, anywhere in it, by start, outside all base spans.
+    Texts without base spans have no terms. Null and empty texts have neither, long ones are read whole; rows that
+    repeat are documents of their own, though copies of a text are evidence but once; null doc_ids stay null; other
+    columns of ``docs`` do not matter; an empty table gives an empty one.
     """
     work = Workspace(docs.sparkSession, "pii")
     texts = pick(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.withColumn("h", F.xxhash64("text"))
     found = texts.select("doc_id", "text", "h", base_spans(F.col("text")).alias("base"))
-    entities = F.when(F.size("base") > 0, F.array_distinct(F.transform("base", entity_of)))
+    holds = F.size("base") > 0
     plain = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    found = work.table(found.select("doc_id", "h", plain.alias("base"), entities.alias("entities")), "found")
+    kept = found.select("doc_id", "h", plain.alias("base"), F.when(holds, F.array_sort(F.array_distinct(F.transform("base", entity_of)))).alias("entities"), F.when(holds, F.col("text")).alias("text"))
+    found = work.table(kept, "found")
     none = F.expr("cast(array() as array<struct<start:int,end:int,kind:string>>)")
 
-    sizes = work.table(found.groupBy("h").agg(F.count("*").alias("n")), "sizes")
-    n_docs = sizes.count()
-    of = found.where("entities is not null").select("h", F.explode("entities").alias("entity")).distinct()
-    often = work.table(of.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support), "often")
-    most = often.agg(F.max("n_entity")).first()[0]
-    if most is None:
+    sizes = work.table(found.groupBy("h").agg(F.count("*").alias("n"), F.bool_or(F.col("entities").isNotNull()).alias("holds")), "sizes")
+    n_held, n_plain = sizes.agg(F.count_if("holds"), F.count_if(~F.col("holds"))).first()
+    if not n_held:
         return found.select("doc_id", "base", none.alias("terms"))
-    held = work.table(of.join(often, "entity"), "held")
-    rare = work.table(rare_terms(texts, work.table(sizes.where("n > 1"), "copied"), n_docs, most, threshold, support), "rare")
-
-    # Only texts that hold such an entity are read word by word, each once however often it is copied.
-    asked = work.table(held.select("h").distinct(), "asked")
-    words = F.transform(located(F.col("text"), TERM), lambda t: F.struct(F.lower(t["text"]).alias("term"), t["start"].alias("start"), t["end"].alias("end")))
-    read = texts.select("h", "text").join(asked, "h", "left_semi").dropDuplicates(["h"])
-    bases = found.where("entities is not null").select("h", "base").join(asked, "h", "left_semi").dropDuplicates(["h"])
-    places = read.select("h", F.explode(words).alias("w")).select("h", "w.*").join(rare, "term").join(bases, "h")
-    places = work.table(places.where(~F.exists("base", lambda s: (F.col("start") < s["end"]) & (s["start"] < F.col("end")))).drop("base"), "places")
-    told = work.table(disclosing_terms(held, places.select("h", "term", "n_term").distinct(), n_docs, threshold, support), "told")
-    marked = held.join(told, "entity").select("h", "term").distinct()
-    spans = places.join(marked, ["h", "term"]).groupBy("h").agg(F.array_sort(F.collect_set(F.struct("start", "end", F.lit("term").alias("kind")))).alias("terms"))
-    return found.join(work.table(spans, "terms"), "h", "left").select("doc_id", "base", F.coalesce("terms", none).alias("terms"))
+    kinds = F.concat(F.array_distinct(F.transform("entities", lambda e: F.substring_index(e, ":", 1))), F.array(F.lit(ANY)))
+    held = found.where("entities is not null").dropDuplicates(["h"])
+    held = work.table(held.select("h", "entities", kinds.alias("kinds"), F.xxhash64("entities").alias("record"), term_places(F.col("text")).alias("places")), "held")
+    words = work.table(held.select("h", F.explode(F.array_distinct(F.transform("places", lambda t: t["term"]))).alias("term")), "words")
+    copied = work.table(sizes.where("n > 1 and not holds").select(F.col("h").alias("of"), (1.0 / F.col("n")).alias("share")), "copied")
+    # Only texts that the pattern leaves open are held against those with entities.
+    maybe = F.col("text").rlike(MAYBE)
+    others = texts.where(~maybe).select("h", "text").union(texts.where(maybe).join(sizes.where("holds").select("h"), "h", "left_anti").select("h", "text"))
+    others = others.join(copied, F.col("h") == F.col("of"), "left").select("text", F.coalesce("share", F.lit(1.0)).alias("part"))
+    told_by = work.table(disclosing_terms(work, held.drop("places"), words, others, n_plain, threshold, support), "told")
+
+    # Each text's own disclosing terms, then their places.
+    names = F.concat("kinds", "entities")
+    marked = held.select("h", F.explode(names).alias("entity")).join(told_by, "entity").groupBy("h").agg(F.collect_set("term").alias("marked"))
+    spans = held.join(marked, "h").select(F.col("h").alias("of"), F.transform(F.filter("places", lambda t: F.array_contains("marked", t["term"])), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.lit("term").alias("kind"))).alias("terms"))
+    spans = work.table(spans, "terms")
+    work.drop("words", "held", "sizes")
+    return found.join(spans, F.col("h") == F.col("of"), "left").select("doc_id", "base", F.coalesce("terms", none).alias("terms"))
 
 
 def count_of(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
+def in_order(spans: Column) -> Column:
+    """By start, then kind as listed, terms last."""
+    place = F.create_map(*[x for k, kind in enumerate([*KINDS, "term"]) for x in (F.lit(kind), F.lit(k))])
+    return F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), place[s["kind"]].alias("k"), s["end"].alias("end"), s["kind"].alias("kind"))))
+
+
 def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 

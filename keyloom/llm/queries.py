@@ -59,7 +59,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))
     n = [pii.count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.KINDS]
-    every = F.array_sort(F.concat("base", "terms"))
+    every = pii.in_order(F.concat("base", "terms"))
     return found.select("doc_id", *n, F.sha2(pii.span_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.span_text(every).alias("spans"))
 
 

@@ -2,35 +2,57 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import Workspace, components, per_batch, pick, small_batches
+from keyloom.llm.common import Bloom, Workspace, build_bloom, components, per_batch, pick, small_batches
 
 SHINGLES_AT_ONCE = 1 << 16
 
-
-def simhash(text: str | None, words: int = 3, seed: int = 42) -> int:
-    """64-bit fingerprint of one text as a signed integer: bit k is set if over half the shingles' XXH64 have it."""
+#: Sets are near copies if they share this part, as a fraction, of all that either has.
+LEAST = (4, 5)
+#: At that similarity the share of a fingerprint's bits that differ: the angle of the two sets, as part of a half turn.
+FLIPPED = math.acos(2 * LEAST[0] / (LEAST[0] + LEAST[1])) / math.pi
+#: A pair at that similarity meets in one of the blocks' balls but for one in twenty-five.
+MISSED = 0.04
+#: Bits of a node's number that are its fingerprint, the upper ones; the others are its set's hash.
+SEEN = 56
+#: In a ball's bucket each set is compared with so many before it in the order of their fingerprints.
+REACH = 7
+#: Rounds in which each set tries one of its links; then all that are left are tried at once.
+TRIES = 3
+
+
+def shingles(text: str | None, words: int, seed: int = 42) -> np.ndarray:
+    """The XXH64 of a text's shingles, repeats included; a text of fewer words has one of all it has, a blank one none."""
     from xxhash import xxh64_intdigest
 
     tokens = (text or "").encode().lower().split()  # of bytes, both touch ASCII only
     if not tokens:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(tokens)
     if len(tokens) <= words:
-        hashes = [xxh64_intdigest(joined, seed)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
-        starts = np.concatenate(([0], ends[: -words] + 1))
-        hashes = [xxh64_intdigest(joined[s:e], seed) for s, e in zip(starts.tolist(), ends[words - 1 :].tolist(), strict=True)]
+        return np.array([xxh64_intdigest(joined, seed)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
+    starts = np.concatenate(([0], ends[: -words] + 1))
+    return np.fromiter((xxh64_intdigest(joined[s:e], seed) for s, e in zip(starts.tolist(), ends[words - 1 :].tolist(), strict=True)), np.uint64, len(starts))
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """Of rows of 64-bit hashes, one a shingle, the bits, lowest first, that over half of them have."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(hashes), SHINGLES_AT_ONCE):
-        part = np.array(hashes[k : k + SHINGLES_AT_ONCE], np.uint64)
-        ones += np.unpackbits(part.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64)[0])
+        ones += np.unpackbits(hashes[k : k + SHINGLES_AT_ONCE].view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return ones * 2 > len(hashes)
+
+
+def simhash(text: str | None, words: int = 3, seed: int = 42) -> int:
+    """64-bit fingerprint of one text as a signed integer: bit k is set if over half the shingles' XXH64 have it."""
+    return int(np.packbits(majority(shingles(text, words, seed)), bitorder="little").view(np.int64)[0])
 
 
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
@@ -61,8 +83,9 @@ def near_fingerprints(distinct: DataFrame, radius: int = 2) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:
     """Every row of ``docs`` as (doc_id, fp, component_id): the smallest doc_id its fingerprint can reach by links.
 
-    Equal fingerprints are one node, so groups of copies of any size cost one ball. Rows with a null doc_id get their
-    group's smallest id, null if it has none; repeated rows stay repeated; an empty table gives an empty one.
+    Equal fingerprints are one node, so groups of copies of any size cost one ball. Null, empty and blank texts have
+    fingerprint zero, long ones are read whole. Rows with a null doc_id get their group's smallest id, null if it has
+    none; repeated rows stay repeated; other columns of ``docs`` do not matter; an empty table gives an empty one.
     """
     work = Workspace(docs.sparkSession, "simhash")
     prints = work.table(fingerprints(docs, words, seed), "prints")
@@ -71,4 +94,138 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, radius: int
     rooted = nodes.join(components(work, links, "a", "b"), nodes.fp == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = work.table(rooted.join(least, "root").select("fp", "component_id"), "classes")
+    work.drop("nodes", "links")
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+# Near copies by similarity --------------------------------------------------------------------------------------------
+
+
+def blocks(n: int) -> tuple[int, int]:
+    """(blocks, bits of each) for ``n`` sets: bits so that a ball of radius 2 holds few sets by chance, and as many blocks as make MISSED."""
+    bits = max(16, math.ceil(math.log2(max(n, 2))) + 4)
+    met = sum(math.comb(bits, k) * FLIPPED**k * (1 - FLIPPED) ** (bits - k) for k in range(3))
+    return math.ceil(math.log(MISSED) / math.log(1 - met)), bits
+
+
+def wide(held: np.ndarray, count: int, bits: int) -> np.ndarray:
+    """``count`` blocks of ``bits`` bits of the fingerprint of a set of hashes, each as a number; further bits come of the hashes mixed anew."""
+    found = []
+    for k in range(-(-count * bits // 64)):
+        x = held + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        found.append(majority(x ^ (x >> np.uint64(31))))
+    return np.concatenate(found)[: count * bits].reshape(count, bits) @ (1 << np.arange(bits, dtype=np.int64))
+
+
+def _sketches(docs: DataFrame, words: int, count: int, bits: int) -> DataFrame:
+    """(row, node, n, blocks): the number of the text's shingle set, zero for an empty one, its size and its fingerprint's blocks."""
+    small_batches(docs.sparkSession)
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        from xxhash import xxh64_intdigest
+
+        nodes, sizes, found = [], [], []
+        for text in b.column(1).to_pylist():
+            hashes = shingles(text, words)
+            held = np.unique(hashes)
+            fp = int(np.packbits(majority(held), bitorder="little").view(np.uint64)[0])
+            nodes.append(fp >> 64 - SEEN << 64 - SEEN | xxh64_intdigest(held.tobytes()) >> SEEN if len(held) else 0)
+            sizes.append(len(held))
+            found.append(wide(held, count, bits) if len(held) else np.empty(0, np.int64))
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["row", "node", "n", "blocks"])
+
+    return pick(docs, "row", "text").mapInArrow(per_batch(run), "row long, node long, n long, blocks array<long>")
+
+
+def _sets(docs: DataFrame, asked: Bloom, words: int) -> DataFrame:
+    """(row, held): the shingle set of each text of (row, text) whose row passes the filter."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
+        passed = np.flatnonzero(asked.has(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
+        if not len(passed):
+            return None
+        part = b.take(pa.array(passed))
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array([np.unique(shingles(t, words)).view(np.int64) for t in part.column(1).to_pylist()], pa.list_(pa.int64()))], ["row", "held"])
+
+    return pick(docs, "row", "text").mapInArrow(per_batch(run), "row long, held array<long>")
+
+
+def most_apart(bits: int) -> int:
+    """Bits of ``bits`` in which two sets at the least similarity differ but for one pair in thirty thousand."""
+    return math.floor(bits * FLIPPED + 4 * math.sqrt(bits * FLIPPED * (1 - FLIPPED)))
+
+
+def _met(nodes: DataFrame, count: int, bits: int) -> DataFrame:
+    """(a, b), a < b: sets that meet at a variant of a block and whose sizes and numbers leave the least similarity possible.
+
+    Every block emits all its variants within half the radius of 2, itself and one for each bit. What meets at a variant
+    is in the order of its fingerprints, turned by another angle in each block, and each set meets the REACH before it.
+    """
+    masks = F.array(*[F.lit(m).cast("long") for m in (0, *(1 << k for k in range(bits)))])
+    variants = F.flatten(F.transform("blocks", lambda b, t: F.transform(masks, lambda m: F.call_function("shiftleft", t.cast("long"), F.lit(bits)).bitwiseOR(b.bitwiseXOR(m)))))
+    emitted = nodes.select("node", "n", F.explode(variants).alias("variant"))
+    turn = (F.call_function("shiftright", F.col("variant"), F.lit(bits)) % 8 * 7).cast("int")
+    turned = F.call_function("shiftleft", F.col("node"), turn).bitwiseOR(F.call_function("shiftrightunsigned", F.col("node"), 64 - turn))
+    order = Window.partitionBy("variant").orderBy(turned, "node")
+    before = [F.lag(F.struct("node", "n"), k).over(order) for k in range(1, REACH + 1)]
+    met = emitted.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.array(*before).alias("before")).where("before[0] is not null")
+
+    def near(o: Column) -> Column:
+        sizes = LEAST[1] * F.least(F.col("n_b"), o["n"]) >= LEAST[0] * F.greatest(F.col("n_b"), o["n"])
+        return o.isNotNull() & sizes & (F.bit_count(F.call_function("shiftrightunsigned", o["node"].bitwiseXOR(F.col("b")), F.lit(64 - SEEN))) <= most_apart(SEEN))
+
+    pairs = met.select("b", F.explode(F.filter("before", near)).alias("o")).where("o.node <> b")
+    return pairs.select(F.least("o.node", "b").alias("a"), F.greatest("o.node", "b").alias("b")).distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose sets are near copies."""
+    part, whole = LEAST
+    a, b = sets.select(F.col("node").alias("a"), F.col("held").alias("held_a")), sets.select(F.col("node").alias("b"), F.col("held").alias("held_b"))
+    both = F.size(F.array_intersect("held_a", "held_b"))
+    return pairs.join(a, "a").join(b, "b").where((part + whole) * both >= part * (F.size("held_a") + F.size("held_b"))).select("a", "b")
+
+
+def similar_documents(docs: DataFrame, words: int = 5) -> DataFrame:
+    """Every row of ``docs``, (row, text), as (row, group): alike for texts that links of similarity LEAST or more connect.
+
+    A 64-bit fingerprint is too short for sets as far apart as LEAST, so a wider one is cut into blocks and each block is
+    ball-hashed. Sets of one number, the fingerprint's upper bits and eight of the set's hash, are one node, so groups of
+    copies of any size cost one ball. Pairs that meet are verified: by all blocks' bits, then by the Jaccard similarity
+    of the whole sets. Each set tries its nearest link first, and links between what is already connected are not tried.
+    Null and blank texts have an empty set and are one group; texts of fewer words have one shingle of all their words;
+    long texts are read whole; repeated rows and rows without other columns are nothing special; no rows give no rows.
+    """
+    spark = docs.sparkSession
+    work = Workspace(spark, "similar")
+    count, bits = blocks(docs.count())
+    sketches = work.table(_sketches(docs, words, count, bits), "sketches")
+    nodes = work.table(sketches.groupBy("node").agg(F.first("n").alias("n"), F.first("blocks").alias("blocks"), F.min("row").alias("row")), "nodes")
+    met = work.table(_met(nodes, count, bits), "met")
+    a, b = nodes.select(F.col("node").alias("a"), F.col("blocks").alias("x")), nodes.select(F.col("node").alias("b"), F.col("blocks").alias("y"))
+    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, k: s + k)
+    left = work.table(met.join(a, "a").join(b, "b").select("a", "b", apart.alias("d")).where(F.col("d") <= most_apart(count * bits)), "pairs-0")
+    asked = work.table(left.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
+    rows = work.table(nodes.select("node", "row").join(asked, "node", "left_semi").select("node", F.col("row").alias("of")), "asked-rows")
+    passing = _sets(docs, build_bloom(rows.select("of"), rows.count()), words)  # so that no other text is shuffled
+    sets = work.table(passing.join(rows, F.col("row") == F.col("of")).select("node", "held"), "sets")
+    work.drop("met", "asked")
+
+    links, roots = None, None
+    for k in range(1, TRIES + 2):
+        if left.isEmpty():
+            break
+        nearest = left.groupBy("b").agg(F.min(F.struct("d", "a")).alias("best")).select("best.a", "b") if k <= TRIES else left.select("a", "b")
+        tried = work.table(nearest, f"tried-{k}")
+        found = work.table(_verified(tried, sets), f"links-{k}")
+        links = found if links is None else links.union(found)
+        roots = work.table(components(Workspace(spark, "similar-roots"), links, "a", "b"), f"roots-{k}")
+        r_a, r_b = roots.select(F.col("node").alias("a"), F.col("root").alias("root_a")), roots.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
+        still = left.join(tried, ["a", "b"], "left_anti").join(r_a, "a", "left").join(r_b, "b", "left")
+        left = work.table(still.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "d"), f"pairs-{k}")
+    work.drop("sets", "asked-rows", "nodes")
+    if roots is None:
+        return sketches.select("row", F.col("node").alias("group"))
+    return sketches.select("row", "node").join(roots, "node", "left").select("row", F.coalesce("root", "node").alias("group"))

@@ -33,9 +33,18 @@ def matched_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tu
 
 
 def grams(urls: DataFrame, order: int) -> DataFrame:
-    """(.., gram): each character of the URL with the ``order`` before it."""
-    padded = F.concat(F.lit(PAD * order), F.col("url"))
-    return urls.where(F.length("url") > 0).withColumn("gram", F.explode(F.transform(F.sequence(F.lit(1), F.length("url")), lambda i: F.substring(padded, i, F.lit(order + 1)))))
+    """(id, .., gram) of (id, url, ..): each character of the URL with the ``order`` before it; the URL itself stays behind.
+
+    The characters are shifted against each other as whole arrays, which is linear in a URL of any length.
+    """
+    n = F.size("chars")
+    padded = F.concat(F.array_repeat(F.lit(PAD), order), F.col("chars"))
+    gram = F.slice(padded, 1, n)
+    for k in range(1, order + 1):
+        gram = F.zip_with(gram, F.slice(padded, k + 1, n), F.concat)
+    others = [c for c in urls.columns if c != "url"]
+    split = urls.where(F.length("url") > 0).select(*others, F.split("url", "").alias("chars"))
+    return split.select(*others, F.explode(gram).alias("gram"))
 
 
 def model(counted: DataFrame, chars: int, order: int, strength: float) -> DataFrame:
@@ -80,8 +89,9 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] | None = None, ord
 
     URLs that a rule fits get its verdict and teach the two models; three quarters of them, by the hash of the page_id,
     are counted first, and the rest set the threshold that the length-normalised log-likelihood difference must reach.
-    The final models count all of them. Null and empty urls score 0. Texts of any length are scored character by
-    character in rows; repeated rows stay repeated; an empty table gives an empty one. Ties in the calibration go to
+    The final models count all of them. Null and empty urls score 0. Urls of any length are scored character by
+    character in rows, in time linear in it; rows that repeat and null page_ids stay as they are; other columns of
+    ``pages`` do not matter; an empty table gives an empty one. Ties in the calibration go to
     the cut nearest 0, and a score at the threshold is accepted.
     """
     spark = pages.sparkSession
@@ -91,8 +101,10 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] | None = None, ord
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules or RULES)
     rows = work.table(rows.select("page_id", "url", "host", "path", rule.alias("rule"), verdict.alias("rule_verdict"), (F.pmod(F.xxhash64("page_id"), F.lit(4)) == 0).alias("held")), "rows")
     urls = rows.where("url is not null").groupBy("url").agg(F.first("rule_verdict").alias("verdict"), F.count("*").alias("n"), F.bool_and("held").alias("held"))
-    urls = work.table(urls, "urls")
-    seen = grams(urls, order)
+    # Dealt out anew, as few bytes of urls make many rows of characters; from here on a number stands for the url.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    urls = work.table(urls.repartition(parts).withColumn("id", F.monotonically_increasing_id()), "urls")
+    seen = grams(urls.select("id", "url", "verdict", "n", "held"), order)
     allow, block = [F.sum(F.when(F.col("verdict") == c, F.col("n")).otherwise(0)) for c in ("allow", "block")]
     first_allow, first_block = [F.sum(F.when((F.col("verdict") == c) & ~F.col("held"), F.col("n")).otherwise(0)) for c in ("allow", "block")]
     counted = work.table(seen.groupBy("gram").agg(allow.alias("allow"), block.alias("block"), first_allow.alias("first_allow"), first_block.alias("first_block")), "counted")
@@ -100,9 +112,10 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] | None = None, ord
     both = model(counted.select("gram", "allow", "block"), chars, order, strength).join(
         model(counted.select("gram", F.col("first_allow").alias("allow"), F.col("first_block").alias("block")), chars, order, strength).withColumnRenamed("ratio", "first_ratio"), "gram")
     both = work.table(both, "model")
-    scores = seen.select("url", "gram").join(both, "gram").groupBy("url").agg(F.round(F.avg("ratio"), 9).alias("score"), F.round(F.avg("first_ratio"), 9).alias("first_score"))
-    scores = work.table(urls.join(scores, "url", "left").select(F.col("url").alias("of"), "verdict", "held", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("first_score", F.lit(0.0)).alias("first_score")), "scores")
+    scores = grams(urls.select("id", "url"), order).join(both, "gram").groupBy("id").agg(F.round(F.avg("ratio"), 9).alias("score"), F.round(F.avg("first_ratio"), 9).alias("first_score"))
+    scores = work.table(urls.join(scores, "id", "left").select(F.col("url").alias("of"), "verdict", "held", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("first_score", F.lit(0.0)).alias("first_score")), "scores")
     cut = calibrated(scores.where(F.col("held") & F.col("verdict").isNotNull()).select("verdict", F.col("first_score").alias("score"))).first()[0]
+    work.drop("urls", "counted", "model")
     judged = rows.join(scores.select("of", "score"), F.col("url") == F.col("of"), "left")
     score = F.coalesce("score", F.lit(0.0))
     return judged.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", F.when(score >= F.lit(cut), "allow").otherwise("block")).alias("verdict"), score.alias("score"))
