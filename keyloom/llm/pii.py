@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,11 +11,12 @@ from pyspark.sql import functions as F
 from keyloom.llm.common import Workspace, pick
 
 #: The base kinds in order. Possessive repeats and look-behinds find the same leftmost matches without
-#: backtracking over long runs; \G lets a match begin where the last one ended.
+#: backtracking over long runs; \G lets a match begin where the last one ended. A run of fewer digits than a card has is
+#: none from any start.
 KINDS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++",
+    "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){13,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
@@ -27,7 +29,7 @@ ANY = "any"
 
 #: A term is disclosed if it tells this share of an entity's information. For a value it must stand in so many different
 #: texts that hold it; for a class it must meet it so often that chance would do so for this many terms of the corpus.
-THRESHOLD, SUPPORT, CHANCE = 0.5, 3, 0.01
+THRESHOLD, SUPPORT, CHANCE = 0.5, 3, 0.1
 
 CHUNK = 256
 
@@ -39,27 +41,34 @@ def located(text: Column, pattern: str, offset: Column | int = 0) -> Column:
     linear.
     """
     offset = F.lit(offset) if isinstance(offset, int) else offset
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    items = F.zip_with(matches, F.slice(gaps, 1, F.size(matches)), lambda m, g: F.struct(F.char_length(g).alias("gap"), F.char_length(m).alias("len"), m.alias("m")))
+    matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    items = F.zip_with(matches, gaps, lambda m, g: F.struct(F.char_length(g).alias("gap"), F.char_length(m).alias("len"), m.alias("m")))
 
-    def spread(items: Column) -> Column:
-        chunks = F.transform(F.sequence(F.lit(0), ((F.size(items) - 1) / CHUNK).cast("int")), lambda c: F.slice(items, c * CHUNK + 1, F.lit(CHUNK)))
-        sums = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x["gap"] + x["len"]))
-        bases = F.aggregate(sums, F.array(offset.cast("int")), lambda acc, s: F.concat(acc, F.array(F.element_at(acc, -1) + s)))
-
-        def place(chunk: Column, base: Column) -> Column:
-            start = F.struct(base.alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,text:string>>)").alias("out"))
-            step = lambda acc, x: F.struct(
-                (acc["at"] + x["gap"] + x["len"]).alias("at"),
-                F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["len"]).alias("end"), x["m"].alias("text")))).alias("out"),
-            )
-            return F.aggregate(chunk, start, step, lambda acc: acc["out"])
+    def once(value: Column, f: Callable[[Column], Column]) -> Column:
+        """``f`` of a value that is computed once, however often ``f`` names it."""
+        return F.element_at(F.transform(F.array(value), f), 1)
 
-        return F.flatten(F.zip_with(F.slice(bases, 1, F.size(chunks)), chunks, lambda base, chunk: place(chunk, base)))
+    def cut(items: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), ((F.size(items) - 1) / CHUNK).cast("int")), lambda c: F.slice(items, c * CHUNK + 1, F.lit(CHUNK)))
 
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,text:string>>)")
-    return F.when(F.size(matches) > 0, spread(items)).otherwise(empty)
+    def starts(chunks: Column) -> Column:
+        sums = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x["gap"] + x["len"]))
+        return F.aggregate(sums, F.array(offset.cast("int")), lambda acc, s: F.concat(acc, F.array(F.element_at(acc, -1) + s)))
+
+    def place(chunk: Column, base: Column) -> Column:
+        start = F.struct(base.alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,text:string>>)").alias("out"))
+        step = lambda acc, x: F.struct(
+            (acc["at"] + x["gap"] + x["len"]).alias("at"),
+            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["len"]).alias("end"), x["m"].alias("text")))).alias("out"),
+        )
+        return F.aggregate(chunk, start, step, lambda acc: acc["out"])
+
+    def spread(chunks: Column) -> Column:
+        return F.flatten(F.zip_with(chunks, F.slice(starts(chunks), 1, F.size(chunks)), place))
+
+    # The last gap has no match beside it; without a match nothing is left.
+    kept = once(F.filter(items, lambda x: x["m"].isNotNull()), lambda it: F.when(F.size(it) > 0, once(cut(it), spread)))
+    return F.coalesce(kept, F.expr("cast(array() as array<struct<start:int,end:int,text:string>>)"))
 
 
 def valid(kind: str, match: Column) -> Column:

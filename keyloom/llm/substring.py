@@ -25,6 +25,8 @@ from keyloom.llm.common import Bloom, Workspace, build_bloom, pick, small_batche
 
 #: Words of the first prefix, and most documents for one group of it.
 PREFIX, GROUP = 5, 5_000
+#: Places of lost words that may be sent to all executors; of more, texts are shuffled to theirs.
+SENT_BYTES = 4 << 20
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _blank = np.zeros(256, bool)
@@ -154,7 +156,7 @@ def _lists(keys: tuple[np.ndarray, ...], places: np.ndarray) -> tuple[np.ndarray
 
 
 def repeated_suffixes(docs: DataFrame, window: int, prefix: int, repeats: Bloom, heavy: Bloom) -> DataFrame:
-    """(anchor, low, high, doc_id, places, words): a row for each different run of windows of a document under one repeated anchor.
+    """(anchor, low, high, doc_id, text_id, places, words): a row for each different run of windows of a document under one repeated anchor.
 
     ``words`` holds the hashes of the run's words, which spell all its suffixes, ``places`` where it starts; under a
     heavy anchor each different window is a row of its own, whose prefix is the whole window, as two hashes ``low`` and
@@ -163,8 +165,8 @@ def repeated_suffixes(docs: DataFrame, window: int, prefix: int, repeats: Bloom,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            w = Words(b.column(1))
+            ids, texts = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            w = Words(b.column(2))
             at, hashes = w.anchors(window, prefix)
             starts = w.windows(window)
             if not len(starts):
@@ -181,7 +183,7 @@ def repeated_suffixes(docs: DataFrame, window: int, prefix: int, repeats: Bloom,
                 high = w.rolling(window, 2)
                 first, lists = _lists((high[s], low[s], d), own[many])
                 n = len(first)
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), _signed(low[s[first]]), _signed(high[s[first]]), pa.array(ids[d[first]]), lists, pa.nulls(n, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), _signed(low[s[first]]), _signed(high[s[first]]), pa.array(ids[d[first]]), pa.array(texts[d[first]]), lists, pa.nulls(n, pa.binary())], names)
             few = (passed & ~large)[back]
             if few.any():
                 s, a, d = starts[few], back[few], doc[few]
@@ -194,10 +196,10 @@ def repeated_suffixes(docs: DataFrame, window: int, prefix: int, repeats: Bloom,
                 offsets = np.concatenate([[0], np.cumsum(n)]) * 8
                 words = pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(w.hashes[_spread(lo, n)].tobytes())])
                 none = pa.nulls(len(lo), pa.int64())
-                yield pa.RecordBatch.from_arrays([_signed(hashes[places[a[new]]]), none, none, pa.array(ids[d[new]]), lists, words], names)
+                yield pa.RecordBatch.from_arrays([_signed(hashes[places[a[new]]]), none, none, pa.array(ids[d[new]]), pa.array(texts[d[new]]), lists, words], names)
 
-    names = ["anchor", "low", "high", "doc_id", "places", "words"]
-    return pick(docs, "doc_id", "text").mapInArrow(run, "anchor long, low long, high long, doc_id long, places binary, words binary")
+    names = ["anchor", "low", "high", "doc_id", "text_id", "places", "words"]
+    return pick(docs, "doc_id", "text_id", "text").mapInArrow(run, "anchor long, low long, high long, doc_id long, text_id long, places binary, words binary")
 
 
 def tree_nodes(suffixes: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -225,7 +227,7 @@ def _spread(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def walk(rows: pa.Table, window: int) -> pa.RecordBatch:
-    """(doc_id, places) of the late windows of whole groups. Equal runs of words are one branch, of the smallest document."""
+    """(doc_id, text_id, places) of the late windows of whole groups. Equal runs of words are one branch, of the smallest document."""
     docs = rows["doc_id"].to_numpy()
     runs = rows["words"].combine_chunks().dictionary_encode()
     branch, distinct = runs.indices.to_numpy(), runs.dictionary
@@ -245,7 +247,7 @@ def walk(rows: pa.Table, window: int) -> pa.RecordBatch:
     held = np.flatnonzero(by_row)
     offsets = np.concatenate([[0], np.cumsum(by_row[held])]) * 4
     lists = pa.Array.from_buffers(pa.binary(), len(held), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(out.tobytes())])
-    return pa.RecordBatch.from_arrays([pa.array(docs[held]), lists], ["doc_id", "places"])
+    return pa.RecordBatch.from_arrays([pa.array(docs[held]), rows["text_id"].combine_chunks().take(pa.array(held)), lists], ["doc_id", "text_id", "places"])
 
 
 def _binary(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
@@ -257,7 +259,7 @@ def _binary(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
 
 
 def walk_groups(rows: DataFrame, window: int, at_once: int = 4_000) -> DataFrame:
-    """(doc_id, places): windows whose words also start in a document of smaller id, of rows grouped by anchor.
+    """(doc_id, text_id, places): windows whose words also start in a document of smaller id, of rows grouped by anchor.
 
     A partition's rows come sorted by anchor; whole groups are gathered until there are ``at_once`` rows, and their
     subtrees are built and walked together.
@@ -281,22 +283,26 @@ def walk_groups(rows: DataFrame, window: int, at_once: int = 4_000) -> DataFrame
         if size:
             yield walk(pa.Table.from_batches(held), window)
 
-    return rows.select("anchor", "doc_id", "places", "words").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "doc_id long, places binary")
+    return rows.select("anchor", "doc_id", "text_id", "places", "words").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "doc_id long, text_id long, places binary")
 
 
 def drop_repeats(docs: DataFrame, window: int = 13, prefix: int = PREFIX, group: int = GROUP) -> DataFrame:
     """Every row of ``docs`` as (doc_id, text, n_words, n_removed): kept words, joined by one space.
 
     Removed is each word covered by a window whose words also start in a document with a smaller doc_id, judged on the
-    input. Null, empty and short texts lose nothing. Rows with a null doc_id are read as if theirs were the largest of
-    all and no smaller than each other's; rows that repeat a doc_id are one document, each losing what the others do
-    not open. Words count as equal when their 64-bit hashes are, for all 13 words of a window.
+    input. Null, empty and short texts lose nothing, long ones are read whole. Rows with a null doc_id are read as if
+    theirs were the largest of all and no smaller than each other's; rows that repeat a doc_id, with whatever texts, are
+    judged each by its own text and open windows together, so that none loses what only they hold. Words count as equal
+    when their 64-bit hashes are, for all 13 words of a window. Other columns of ``docs`` do not matter, and an empty
+    table gives an empty one.
     """
     spark = docs.sparkSession
     small_batches(spark)
     work = Workspace(spark, "substring")
-    unnamed = F.lit(1 << 62) + F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1))
-    own = pick(docs, "doc_id", "text").select(F.col("doc_id").alias("named"), F.coalesce("doc_id", unnamed).alias("doc_id"), "text")
+    # What a row loses depends on its doc_id and its text alone, so these two tell it.
+    text_id = F.xxhash64(F.coalesce("text", F.lit("")))
+    unnamed = F.lit(1 << 62) + text_id.bitwiseAND(F.lit((1 << 62) - 1))
+    own = pick(docs, "doc_id", "text").select(F.col("doc_id").alias("named"), F.coalesce("doc_id", unnamed).alias("doc_id"), text_id.alias("text_id"), "text")
     counts = work.table(anchor_counts(own, window, prefix), "anchors")
     n, n_heavy = counts.agg(F.count("*"), F.coalesce(F.sum((F.col("n_docs") > group).cast("long")), F.lit(0))).first()
     repeats = build_bloom(counts.select("anchor"), n)
@@ -304,10 +310,13 @@ def drop_repeats(docs: DataFrame, window: int = 13, prefix: int = PREFIX, group:
     suffixes = work.table(repeated_suffixes(own, window, prefix, repeats, heavy), "suffixes")
     # Each a table of its own, so that a join of very frequent windows may be split where they gather.
     light = work.table(walk_groups(suffixes.where("anchor is not null"), window), "light")
-    many = suffixes.where("anchor is null").select("low", "high", "doc_id", "places")
+    many = suffixes.where("anchor is null").select("low", "high", "doc_id", "text_id", "places")
     opened = work.table(many.groupBy("low", "high").agg(F.min("doc_id").alias("opened")), "opened")
-    found = light.union(work.table(many.join(opened, ["low", "high"]).where("doc_id > opened").select("doc_id", "places"), "many"))
-    lost = work.table(found.groupBy("doc_id").agg(F.collect_list("places").alias("places")).select(F.col("doc_id").alias("of"), "places"), "lost")
+    found = light.union(work.table(many.join(opened, ["low", "high"]).where("doc_id > opened").select("doc_id", "text_id", "places"), "many"))
+    lost = work.table(found.groupBy("doc_id", "text_id").agg(F.collect_list("places").alias("places")).select(F.col("doc_id").alias("of"), F.col("text_id").alias("of_text"), "places"), "lost")
+    size = lost.agg(F.sum(F.aggregate("places", F.lit(24).cast("long"), lambda a, x: a + F.octet_length(x)))).first()[0] or 0
+    lost = F.broadcast(lost) if size <= SENT_BYTES else lost.hint("shuffle_hash")
+    work.drop("anchors", "suffixes", "light", "opened", "many")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -326,5 +335,5 @@ def drop_repeats(docs: DataFrame, window: int = 13, prefix: int = PREFIX, group:
                 texts.append(b" ".join(words).decode())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], ["doc_id", "text", "n_words", "n_removed"])
 
-    joined = own.join(lost.hint("shuffle_hash"), F.col("doc_id") == F.col("of"), "left").select(F.col("named").alias("doc_id"), "text", "places")
+    joined = own.join(lost, (F.col("doc_id") == F.col("of")) & (F.col("text_id") == F.col("of_text")), "left").select(F.col("named").alias("doc_id"), "text", "places")
     return joined.mapInArrow(run, "doc_id long, text string, n_words long, n_removed long")

@@ -41,7 +41,7 @@ def grams(urls: DataFrame, order: int) -> DataFrame:
     padded = F.concat(F.array_repeat(F.lit(PAD), order), F.col("chars"))
     gram = F.slice(padded, 1, n)
     for k in range(1, order + 1):
-        gram = F.zip_with(gram, F.slice(padded, k + 1, n), F.concat)
+        gram = F.zip_with(gram, F.slice(padded, k + 1, n), lambda a, b: F.concat(a, b))
     others = [c for c in urls.columns if c != "url"]
     split = urls.where(F.length("url") > 0).select(*others, F.split("url", "").alias("chars"))
     return split.select(*others, F.explode(gram).alias("gram"))

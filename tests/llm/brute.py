@@ -62,6 +62,21 @@ def near(rows, k=3):
     return {(i, f"{prints[i]:016x}", root[i]) for i in ids}
 
 
+def similar(rows):
+    """The smallest doc_id each is linked to by similarity 0.8 or more on five-word sets, and the links."""
+    sets = {}
+    for i, t in rows:
+        w = words((t or "").translate(LOWER))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    held = defaultdict(list)
+    for i, s in sets.items():
+        for x in s or {()}:
+            held[x].append(i)
+    pairs = {(a, b) if a < b else (b, a) for ids in held.values() for a in ids for b in ids if a != b}
+    links = [(a, b) for a, b in pairs if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    return components(list(sets), links), links
+
+
 def substrings(rows, n=13):
     grams = defaultdict(lambda: 1 << 62)
     split = {i: words(t) for i, t in rows}
@@ -119,6 +134,63 @@ def personal(text):
     return (*(sum(s[3] == kind for s in out) for kind in KINDS), sha(",".join(f"{s[3]}:{s[0]}:{s[2]}" for s in out)))
 
 
+def disclosed(texts, threshold=0.5, support=3, chance=0.1):
+    """Of different texts: {text: places of its disclosing terms}. Entities are values, kinds and "any"."""
+    import math
+
+    import regex
+
+    term = regex.compile(r"(?<![\p{L}\p{M}\p{N}])\p{L}[\p{L}\p{M}]*+(?!\p{N})")
+    values, found = {}, {}
+    for t in texts:
+        own = set()
+        for kind, p in KINDS.items():
+            for m in re.finditer(p, t):
+                d = re.sub("[^0-9]", "", m[0])
+                if {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")), "card": 14 <= len(d) <= 19 and luhn(d), "phone": 10 <= len(d) <= 15}[kind]:
+                    own.add(f"{kind}:{m[0].lower() if kind in ('email', 'ip') else d}")
+        values[t], at = frozenset(own), 0
+        found[t] = []
+        for gap in re.split("(" + re.sub(r"\((?!\?)", "(?:", KINDS["email"]) + ")", t):
+            if not re.fullmatch(KINDS["email"], gap):
+                found[t] += [(at + m.start(), at + m.end(), m[0].lower()) for m in term.finditer(gap)]
+            at += len(gap)
+    held = {t for t in texts if values[t]}
+    plain = [t for t in texts if not values[t]]
+    records = {values[t] for t in held}
+    kinds_of = lambda v: {x.split(":")[0] for x in v} | {"any"}
+    terms = {w for t in held for _, _, w in found[t]}
+    n_plain = {w: 0 for w in terms}
+    for t in plain:
+        for w in {w for _, _, w in found[t]} & terms:
+            n_plain[w] += 1
+    told = set()
+    n, every = len(records) + len(plain), len(held) + len(plain)
+    kinds = [*KINDS, "any"]
+    limit = math.log(max(1, len(terms)) * len(kinds) / chance)
+    texts_of, records_of = defaultdict(set), defaultdict(set)
+    for t in held:
+        for w in {w for _, _, w in found[t]}:
+            texts_of[w].add(t)
+            records_of[w].add(values[t])
+    for k in kinds:
+        of = sum(k in kinds_of(v) for v in records)
+        for w in terms:
+            both, whole = sum(k in kinds_of(v) for v in records_of[w]), len(records_of[w]) + n_plain[w]
+            if both and math.log(both * n / (of * whole)) / max(math.log(n / of), 1e-9) >= threshold:
+                e = whole * of / n
+                if both > e and both * math.log(both / e) - both + e >= limit:
+                    told.add((k, w))
+    for v in {x for t in held for x in values[t]}:
+        of = {t for t in held if v in values[t]}
+        if len(of) >= support:
+            for w in {w for t in of for _, _, w in found[t]}:
+                both, whole = len(of & texts_of[w]), len(texts_of[w]) + n_plain[w]
+                if both >= support and math.log(both * every / (len(of) * whole)) / max(math.log(every / len(of)), 1e-9) >= threshold:
+                    told.add((v, w))
+    return {t: [(a, b) for a, b, w in found[t] if any((e, w) in told for e in values[t] | kinds_of(values[t]))] if values[t] else [] for t in texts}
+
+
 def host_path(url):
     if not url or "://" not in url:
         return "", ""
