@@ -28,6 +28,8 @@ def index(ls: DataFrame, i: int) -> DataFrame:
 
 def slice_(ls: DataFrame, start: int, stop: int) -> DataFrame:
     """LRANGE, inclusive, negatives from the end."""
+    if start >= 0 and stop >= 0:
+        return ls.where((F.col("pos") >= start) & (F.col("pos") <= stop)).select("key", "pos", "value")
     lo, hi = bounds(F.col("n"), start, stop)
     return ls.withColumn("n", size()).where((F.col("pos") >= lo) & (F.col("pos") <= hi)).select("key", "pos", "value")
 
@@ -72,12 +74,12 @@ def put(ls: DataFrame, i: int, value: str) -> DataFrame:
 
 
 def remove(ls: DataFrame, n: int, value: str) -> DataFrame:
-    """LREM: the first n matches, the last -n, or all for 0."""
-    hit = (F.col("value") == value).cast("int")
-    k = F.row_number().over(Window.partitionBy("key", "hit").orderBy(F.asc("pos") if n >= 0 else F.desc("pos")))
-    held = ls.withColumn("hit", hit)
-    held = held.where("hit = 0") if n == 0 else held.withColumn("k", k).where((F.col("hit") == 0) | (F.col("k") > abs(n)))
-    return dense(held)
+    """LREM: the first n matches, the last -n, or all for 0. Only matches are ranked; then one window numbers what is left."""
+    hits = ls.where(F.col("value") == value)
+    if n:
+        k = F.row_number().over(by_key().orderBy(F.asc("pos") if n > 0 else F.desc("pos")))
+        hits = hits.withColumn("k", k).where(F.col("k") <= abs(n))
+    return dense(ls.join(hits.select("key", "pos"), ["key", "pos"], "left_anti") if n else ls.where((F.col("value") != value) | F.col("value").isNull()))
 
 
 def pop(ls: DataFrame, n: int, right: bool = False) -> DataFrame:

@@ -6,10 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def named(rows: DataFrame, keys: list[str], **values: list[float]) -> DataFrame:
+    """The rows of ``keys``, once for each place ``at`` that names their key, with that place's ``values``."""
+    places = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(i).alias("at"), *[F.lit(float(v[i])).alias(n) for n, v in values.items()]) for i, k in enumerate(keys)])
+    return rows.where(F.col("key").isin(keys)).withColumn("place", F.explode(F.filter(places, lambda p: p["key"] == F.col("key")))).select(*rows.columns, "place.at", *[f"place.{n}" for n in values])
+
+
 def algebra(s: DataFrame, keys: list[str], kind: str) -> DataFrame:
-    """SDIFF (the first less the rest), SINTER and SUNION of distinct members: one filtered scan and one shuffle."""
-    held = s.where(F.col("key").isin(keys)).groupBy("member").agg(F.count("*").alias("n"), F.bool_or(F.col("key") == keys[0]).alias("first"))
-    cond = {"diff": "first and n = 1", "inter": f"n = {len(set(keys))}", "union": "true"}[kind]
+    """SDIFF (the first less the rest), SINTER and SUNION of distinct members: one filtered scan and one shuffle. A key may be named again: SDIFF a a is empty."""
+    held = named(s, keys).groupBy("member").agg(F.count("*").alias("n"), F.bool_or(F.col("at") == 0).alias("first"))
+    cond = {"diff": "first and n = 1", "inter": f"n = {len(keys)}", "union": "true"}[kind]
     return held.where(cond).select("member")
 
 
@@ -17,6 +23,11 @@ def store(members: DataFrame, dst: str) -> DataFrame:
     return members.select(F.lit(dst).alias("key"), "member")
 
 
+def store_reply(found: DataFrame, dst: str) -> DataFrame:
+    """(key, n, op) of a *STORE: the size of what is stored, and the change of the destination, a tombstone where it is empty."""
+    return found.agg(F.count("*").alias("n")).select(F.lit(dst).alias("key"), "n", F.when(F.col("n") > 0, "set").otherwise("del").alias("op"))
+
+
 def size_up_to(members: DataFrame, limit: int = 0) -> DataFrame:
     """SINTERCARD / ZINTERCARD: the size, cut at ``limit`` unless it is 0."""
     n = F.count("*")

@@ -112,15 +112,38 @@ def sample(z: DataFrame, n: int, seed: str) -> DataFrame:
     return z.withColumn("place", F.row_number().over(by_key().orderBy(F.md5(F.concat(F.lit(seed), F.col(name))), name)).cast("long")).where(F.col("place") <= n)
 
 
+def draw(z: DataFrame, n: int, seed: str) -> DataFrame:
+    """ZRANDMEMBER, HRANDFIELD and SRANDMEMBER of a negative count: n draws a key, repeats allowed, the same every time.
+
+    Each draw is 60 bits of md5(seed, key, draw), reduced to a place in the key's order by name. The number of rows is n a
+    key, so the table itself is joined once with the places that were drawn.
+    """
+    name = "field" if "field" in z.columns else "member"
+    sizes = z.groupBy("key").agg(F.count("*").alias("size"))
+    hashed = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("key"), F.lit(":"), F.col("draw").cast("string"))), 1, 15), 16, 10).cast("long")
+    drawn = sizes.select("key", "size", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long"))).alias("draw")).select("key", "draw", (hashed % F.col("size")).alias("place"))
+    placed = z.withColumn("place", F.row_number().over(by_key().orderBy(name)).cast("long") - 1)
+    return drawn.join(placed, ["key", "place"]).select("draw", *z.columns)
+
+
+def add_increase(z: DataFrame, new: DataFrame, only: str | None = None) -> DataFrame:
+    """ZADD .. INCR of one (key, member, score) each: (key, member, score) after, and the reply, the new score or null where NX, XX, GT or LT forbid it."""
+    n = new.groupBy("key", "member").agg(F.sum("score").alias("delta"))
+    was, after = F.col("score"), F.coalesce("score", F.lit(0.0)) + F.col("delta")
+    takes = {"NX": was.isNull(), "XX": was.isNotNull(), "GT": was.isNull() | (after > was), "LT": was.isNull() | (after < was), "": F.lit(True)}[only or ""]
+    out = z.join(n, ["key", "member"], "full").withColumn("takes", F.coalesce(takes & F.col("delta").isNotNull(), F.lit(False)))
+    return out.select("key", "member", F.when(F.col("takes"), after).otherwise(was).alias("score"), F.when(F.col("takes"), after).alias("reply")).where("score is not null")
+
+
 def algebra(z: DataFrame, keys: list[str], kind: str, weights: list[float] | None = None, aggregate: str = "sum") -> DataFrame:
     """ZUNION, ZINTER and ZDIFF of ``keys``: one shuffle on the member, scores weighted before they are folded.
 
-    A difference keeps the first key's scores.
+    A key may be named again, with another weight. A difference keeps the first key's scores. Scores are not rounded.
     """
-    w = weights or [1.0] * len(keys)
-    weight = F.coalesce(*[F.when(F.col("key") == k, F.lit(float(x))) for k, x in zip(keys, w, strict=True)])
+    from keyloom.operators.sets import named
+
     fold = {"sum": F.sum, "min": F.min, "max": F.max}[aggregate]
-    held = z.where(F.col("key").isin(keys)).groupBy("member").agg(fold(F.col("score") * weight).alias("folded"), F.count("*").alias("n"), F.max(F.when(F.col("key") == keys[0], F.col("score"))).alias("first"))
+    held = named(z, keys, weight=weights or [1.0] * len(keys)).groupBy("member").agg(fold(F.col("score") * F.col("weight")).alias("folded"), F.count("*").alias("n"), F.max(F.when(F.col("at") == 0, F.col("score"))).alias("first"))
     if kind == "diff":
         return held.where("n = 1 and first is not null").select("member", F.col("first").alias("score"))
-    return (held.where(F.col("n") == len(keys)) if kind == "inter" else held).select("member", F.round("folded", 4).alias("score"))
+    return (held.where(F.col("n") == len(keys)) if kind == "inter" else held).select("member", F.col("folded").alias("score"))

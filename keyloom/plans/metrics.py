@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 
 def prefix_counts(keys: DataFrame, longest: int) -> DataFrame:
@@ -12,20 +14,82 @@ def prefix_counts(keys: DataFrame, longest: int) -> DataFrame:
     return keys.select("key", cut.alias("depth")).groupBy(F.expr("left(key, depth)").alias("prefix")).agg(F.count("*").alias("n"))
 
 
-def latency(requests: DataFrame, points: tuple[float, ...] = (0.9, 0.999)) -> DataFrame:
-    """Count, mean and exact percentiles by command."""
-    cols = [F.round(F.percentile("value", p), 6).alias(f"p{str(p)[2:]}") for p in points]
+def latency(requests: DataFrame, points: tuple[float, ...] = (0.9, 0.999), accuracy: int = 10_000) -> DataFrame:
+    """Count, mean and percentiles by command, each a value that occurs; sketches of bounded size, merged, and exact while a command has fewer values than ``accuracy``."""
+    cols = [F.percentile_approx("value", p, accuracy).alias(f"p{str(p)[2:]}") for p in points]
     return requests.groupBy("cmd").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), *cols)
 
 
+def rolling_latency(requests: DataFrame, age: str = "60 seconds", step: str = "12 seconds", accuracy: int = 10_000) -> DataFrame:
+    """The summary of (cmd, ts, value) over the last ``age`` at every ``step``: sliding windows, also of a stream."""
+    seen = requests.groupBy(F.window(F.col("ts").cast("timestamp"), age, step).alias("w"), "cmd")
+    out = seen.agg(F.count("*").alias("n"), F.percentile_approx("value", 0.9, accuracy).alias("p9"))
+    return out.select(F.unix_seconds("w.end").alias("until"), "cmd", "n", "p9")
+
+
 def sample_groups(samples: DataFrame, least: int, most_bytes: int) -> DataFrame:
-    """Samples for a dictionary of each prefix: in order until ``most_bytes`` are full, where more than ``least`` are there."""
-    by = Window.partitionBy("prefix")
-    running = F.sum("bytes").over(by.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    kept = samples.withColumn("n", F.count("*").over(by)).where(F.col("n") > least).withColumn("running", running)
-    return kept.where(F.col("running") - F.col("bytes") < most_bytes).groupBy("prefix").agg(F.count("*").alias("taken"), F.sum("bytes").alias("bytes"))
+    """Samples for a dictionary of each prefix: in order until ``most_bytes`` are full, where more than ``least`` are there.
+
+    Only the first samples of a prefix can fill it, ``most_bytes`` of at least a byte each: Spark keeps no more rows of a
+    prefix before the shuffle, so a hot one is no larger task than others. Empty samples count as one byte for that.
+    """
+    by = Window.partitionBy("prefix").orderBy("seq")
+    first = samples.withColumn("place", F.row_number().over(by)).where(F.col("place") <= most_bytes + 1)
+    running = F.sum("bytes").over(by.rowsBetween(Window.unboundedPreceding, 0))
+    kept = first.withColumn("running", running).where(F.col("running") - F.col("bytes") < most_bytes).groupBy("prefix").agg(F.count("*").alias("taken"), F.sum("bytes").alias("bytes"))
+    counted = samples.groupBy("prefix").agg(F.count("*").alias("n")).where(F.col("n") > least)
+    return kept.join(counted, "prefix").select("prefix", "taken", "bytes")
+
+
+def compress_stats(requests: DataFrame) -> DataFrame:
+    """By name of (name, raw, packed, us): what was packed is what got smaller; all else is stored raw and counts as it is."""
+    smaller = F.col("packed") < F.col("raw")
+    sums = requests.groupBy("name").agg(
+        F.count("*").alias("raw_count"), F.count_if(smaller).alias("compressed_count"), F.sum("raw").alias("raw_total"),
+        F.sum(F.when(smaller, F.col("packed")).otherwise(F.col("raw"))).alias("stored_total"), F.sum(F.when(smaller, F.col("us")).otherwise(0)).alias("us_total"))
+    avg = F.when(F.col("compressed_count") > 0, F.round(F.col("us_total") / F.col("compressed_count"), 6))
+    return sums.select("*", avg.alias("us_avg"), F.round(F.col("stored_total") / F.col("raw_total"), 6).alias("ratio"))
+
+
+def packed_length(values: Column) -> Column:
+    """Bytes of each value after zstd, in Arrow batches; needs the zstandard package."""
+    @pandas_udf("long")
+    def packed(held: pd.Series) -> pd.Series:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor().compress
+        return held.map(lambda v: None if v is None else len(pack(v.encode())))
+
+    return packed(values)
+
+
+def memory_sums(prepared: DataFrame) -> DataFrame:
+    """(kind, mb) of memory set aside, by kind, and of all as ``all``."""
+    return prepared.rollup("kind").agg(F.sum("mb").alias("mb")).select(F.coalesce("kind", F.lit("all")).alias("kind"), "mb")
+
+
+def slot_metrics(log: DataFrame, slot: Column, now_ms: int) -> DataFrame:
+    """(slot, name, value) gauges of a change log: last seq, changes, keys, tombstones, and what share of changes is live."""
+    from keyloom.plans.state import latest
+
+    last = latest(log).withColumn("slot", slot)
+    live = (F.col("op") != "del") & ((F.col("expire_at") == 0) | (F.col("expire_at") >= now_ms))
+    keys = last.groupBy("slot").agg(F.max("seq").alias("last_seq"), F.count("*").alias("keys"), F.count_if(live).alias("live"))
+    changes = log.groupBy(slot.alias("of")).agg(F.count("*").alias("changes"), F.count_if(F.col("op") == "del").alias("tombstones"))
+    both = keys.join(changes, F.col("slot") == F.col("of"))
+    gauges = {n: F.col(n).cast("double") for n in ("last_seq", "changes", "keys", "live", "tombstones")} | {"live_ratio": F.round(F.col("live") / F.col("changes"), 6)}
+    return both.select("slot", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in gauges.items()])).alias("g")).select("slot", "g.name", "g.value")
+
 
+def exposition(metrics: DataFrame, kind: str = "gauge") -> DataFrame:
+    """(name, labels, value) as lines of a text scrape, in order: a line of its type before each name's values.
 
-def exposition(metrics: DataFrame) -> DataFrame:
-    """(name, label, value) as lines of a text scrape."""
-    return metrics.select(F.format_string('%s{label="%s"} %d', "name", "label", "value").alias("line"))
+    ``labels`` is a map; labels come in the order of their names, with quotes, backslashes and line ends escaped.
+    """
+    escaped = lambda v: F.replace(F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    told = F.array_join(F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit('="'), escaped(e["value"]), F.lit('"'))), ",")
+    value = F.col("value").cast("double")
+    number = F.when(value == F.floor(value), F.concat(value.cast("decimal(38,0)").cast("string"), F.lit(".0"))).otherwise(value.cast("string"))
+    lines = metrics.select("name", F.lit(1).alias("at"), F.concat("name", F.when(F.size("labels") > 0, F.concat(F.lit("{"), told, F.lit("}"))).otherwise(""), F.lit(" "), number).alias("line"))
+    heads = metrics.select("name").distinct().select("name", F.lit(0).alias("at"), F.concat(F.lit("# TYPE "), F.col("name"), F.lit(f" {kind}")).alias("line"))
+    return heads.union(lines)

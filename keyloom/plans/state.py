@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,20 +17,21 @@ def visible(log: DataFrame, now_ms: int) -> DataFrame:
 
 
 def after_flush(log: DataFrame) -> DataFrame:
-    """FLUSHDB: changes after the last flush, all without one."""
+    """FLUSHDB: changes after the last flush, all without one. The one row of that is a scalar subquery's."""
     last = log.agg(F.max(F.when(F.col("op") == "flush", F.col("seq"))).alias("flushed"))
-    return log.crossJoin(F.broadcast(last)).where("op <> 'flush' and (flushed is null or seq > flushed)").drop("flushed")
+    return log.join(F.broadcast(last), F.col("flushed").isNull() | (F.col("seq") > F.col("flushed"))).where("op <> 'flush'").drop("flushed")
 
 
 def counters(log: DataFrame) -> DataFrame:
-    """Counters under mixed set, incr and del: a set or del opens a new run of a key's changes, and the last run counts.
+    """Counters under mixed set, incr and del: the last set or del of a key starts from 0, and what comes later adds up.
 
-    A run opened by a del, or by nothing, starts from 0; keys whose last run is a bare del are absent.
+    Keys whose last change is a del are absent. Both steps aggregate before the shuffle, so a hot key is no large task.
     """
-    by = Window.partitionBy("key").orderBy("seq")
-    runs = log.where("op in ('set', 'incr', 'del')").withColumn("run", F.sum(F.col("op").isin("set", "del").cast("int")).over(by))
-    summed = runs.groupBy("key", "run").agg(F.sum(F.when(F.col("op") == "incr", F.col("delta")).otherwise(0)).alias("value"), F.count_if(F.col("op") == "del").alias("dels"), F.count("*").alias("n"))
-    return summed.groupBy("key").agg(F.max_by(F.struct("value", "dels", "n"), "run").alias("s")).where("not (s.dels = 1 and s.n = 1)").select("key", F.col("s.value").cast("long").alias("value"))
+    own = log.where("op in ('set', 'incr', 'del')")
+    reset = F.col("op").isin("set", "del")
+    last = own.groupBy("key").agg(F.max(F.when(reset, F.col("seq"))).alias("reset"), F.max_by("op", "seq").alias("last_op"))
+    added = own.join(last, "key").where((F.col("op") == "incr") & (F.col("reset").isNull() | (F.col("seq") > F.col("reset")))).groupBy("key").agg(F.sum("delta").alias("value"))
+    return last.where("last_op <> 'del'").join(added, "key", "left").select("key", F.coalesce("value", F.lit(0)).cast("long").alias("value"))
 
 
 def merge(state: DataFrame, changes: DataFrame) -> DataFrame:
@@ -44,5 +45,16 @@ def valid(rows: DataFrame, limits: dict[str, int]) -> DataFrame:
     return rows.where(out & (F.octet_length("value") <= limits["value"]))
 
 
-def since(column: Column, now_ms: int) -> Column:
-    return F.lit(now_ms) - column
+def valid_sizes(rows: DataFrame, most: int) -> DataFrame:
+    """Keys whose collection has more elements than the limit allows, with their size."""
+    return rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most)
+
+
+def writable(log: DataFrame, readonly: DataFrame, slot: Column) -> DataFrame:
+    """The read-only guard: changes of slots that are not set read-only, in order of arrival."""
+    return log.withColumn("slot", slot).join(readonly, "slot", "left_anti")
+
+
+def config_json(settings: DataFrame) -> DataFrame:
+    """(name, value) settings as one JSON object, by name."""
+    return settings.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value"))))).alias("config"))

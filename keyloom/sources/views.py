@@ -26,6 +26,10 @@ class Keyspace:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def big_strings(self, path: str) -> DataFrame:
+        """Big strings, a file each, as (key, value binary): the key is the file's name; the listing prunes by it, and a scan of keys alone reads no file."""
+        return self.spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("key"), F.col("content").alias("value"))
+
     def rows(self, values: list[tuple], schema: str) -> DataFrame:
         """A small literal table, such as a batch of requests."""
         return self.spark.createDataFrame(values, schema)
@@ -78,6 +82,7 @@ SQL_VIEWS = {
     "hash": "SELECT 'customer:' || c_custkey AS key, unnest(['name', 'segment', 'acctbal', 'nation']) AS field, unnest([c_name, c_mktsegment, printf('%.2f', c_acctbal), CAST(c_nationkey AS VARCHAR)]) AS value FROM customer",
     "list": "SELECT CAST(user_id AS VARCHAR) AS key, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, event_type AS value FROM events",
     "str": f"SELECT 'order:' || o_orderkey AS key, o_orderpriority AS value, CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE {NOW_MS} + (o_orderkey % 101 - 50) * 60000 END AS expire_at FROM orders",
+    "live": f"SELECT * FROM (SELECT 'order:' || o_orderkey AS key, o_orderpriority AS value, CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE {NOW_MS} + (o_orderkey % 101 - 50) * 60000 END AS expire_at FROM orders) WHERE expire_at = 0 OR expire_at >= {NOW_MS}",
     "log": """SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS key, CASE event_type WHEN 'signup' THEN 'set' WHEN 'view' THEN 'incr' WHEN 'click' THEN 'append' WHEN 'error' THEN 'del' ELSE 'expire' END AS op,
         'v' || event_id AS value, event_id % 7 + 1 AS delta, CASE WHEN event_type IN ('signup', 'view', 'click', 'error') THEN 0 ELSE epoch_us(ts) // 1000 + (event_id % 20) * 86400000 END AS expire_at FROM events""",
 }
