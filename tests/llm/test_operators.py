@@ -73,7 +73,7 @@ def test_embeddings(spark, data, tmp_path):
 
 
 def test_embeddings_of_null_ids_overflow_and_blocks(spark, monkeypatch):
-    rows_ = [(None, [1.0, 0.0]), (1, [1.0, 0.01]), (2, [1e200, 1.0]), (3, [1e200, 2.0]), (4, [0.0, 1e-200]), (5, [0.0, 2e-200]), (None, [-1.0, 5.0]), (7, [1.0, 2.0, 3.0]), (7, [1.0, 2.0, 3.0]), (None, None)]
+    rows_ = [(None, [1.0, 0.0]), (1, [1.0, 0.01]), (2, [1e200, 1.0]), (3, [1e200, 2.0]), (4, [0.0, 1e-200]), (5, [0.0, 2e-200]), (None, [-1.0, 1.0]), (7, [1.0, 2.0, 3.0]), (7, [1.0, 2.0, 3.0]), (None, None)]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows_], "vec_id long, embedding array<double>, key string")
     got = sorted(map(tuple, embed_dedup.near_vectors(df).collect()), key=repr)
     want = [(None, 3, 1, False), (1, 3, 1, True), (2, 3, 1, False), (3, 3, 1, False), (4, 1, 4, True), (5, 1, 4, False), (None, 0, None, True), (7, 1, 7, True), (7, 1, 7, True), (None, 0, None, True)]
