@@ -32,6 +32,8 @@ ANY = "any"
 THRESHOLD, SUPPORT, CHANCE = 0.5, 3, 0.1
 
 CHUNK = 256
+#: Terms, words of some ten characters, that may be sent to all tasks.
+MOST_TERMS = 200_000
 
 
 def located(text: Column, pattern: str, offset: Column | int = 0) -> Column:
@@ -122,11 +124,18 @@ def surprise(both: Column, expected: Column) -> Column:
     return F.when(both > expected, both * F.log(both / expected) - both + expected).otherwise(0.0)
 
 
-def plain_counts(plain: DataFrame, asked: DataFrame) -> DataFrame:
-    """(term, n_plain): in how many different texts of ``plain``, (text, part), the terms of ``asked`` stand; each of n copies is a part of 1 / n, which sums to whole numbers but for the rounding."""
+def plain_counts(plain: DataFrame, asked: DataFrame, n_asked: int) -> DataFrame:
+    """(term, n_plain): in how many different texts of ``plain``, (text, part), the ``n_asked`` terms of ``asked`` stand.
+
+    Each of n copies is a part of 1 / n, which sums to whole numbers but for the rounding. Few terms are sent to all
+    tasks, which then count no others; many meet the counts of all terms, after these are summed in each task.
+    """
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
-    met = plain.select("part", F.explode(words).alias("term")).join(asked, "term", "left_semi")
-    return met.groupBy("term").agg(F.round(F.sum("part")).cast("long").alias("n_plain"))
+    met = plain.select("part", F.explode(words).alias("term"))
+    if n_asked <= MOST_TERMS:
+        met = met.join(F.broadcast(asked), "term", "left_semi")
+    counted = met.groupBy("term").agg(F.round(F.sum("part")).cast("long").alias("n_plain"))
+    return counted if n_asked <= MOST_TERMS else counted.join(asked, "term", "left_semi")
 
 
 def disclosing_terms(work: Workspace, held: DataFrame, words: DataFrame, plain: DataFrame, n_plain: int, threshold: float, support: int) -> DataFrame:
@@ -160,7 +169,7 @@ def disclosing_terms(work: Workspace, held: DataFrame, words: DataFrame, plain:
             best = (told(F.col(k), F.lit(of_class[k]), F.col("n_records"), n) >= threshold) & (surprise(F.col(k), F.col("n_records") * (of_class[k] / n)) >= limit)
             could = could | best
     asked = work.table(terms.where(could).withColumn("id", F.lit(1)), "asked")
-    counted = asked.join(plain_counts(plain, asked.select("term")), "term", "left").withColumn("n_plain", F.coalesce("n_plain", F.lit(0)))
+    counted = asked.join(plain_counts(plain, asked.select("term"), asked.count()), "term", "left").withColumn("n_plain", F.coalesce("n_plain", F.lit(0)))
     counted = work.table(counted.withColumn("all_texts", F.col("n_texts") + F.col("n_plain")).withColumn("all_records", F.col("n_records") + F.col("n_plain")), "counted")
 
     tells = [F.when((F.col(k) > 0) & (told(F.col(k), F.lit(of_class[k]), F.col("all_records"), n) >= threshold) & (surprise(F.col(k), F.col("all_records") * (of_class[k] / n)) >= limit), F.lit(k)) for k in kinds if of_class[k]]
@@ -197,7 +206,8 @@ def find_personal_data(docs: DataFrame, threshold: float = THRESHOLD, support: i
     if not n_held:
         return found.select("doc_id", "base", none.alias("terms"))
     kinds = F.concat(F.array_distinct(F.transform("entities", lambda e: F.substring_index(e, ":", 1))), F.array(F.lit(ANY)))
-    held = found.where("entities is not null").dropDuplicates(["h"])
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a few texts make many rows of terms
+    held = found.where("entities is not null").dropDuplicates(["h"]).repartition(parts)
     held = work.table(held.select("h", "entities", kinds.alias("kinds"), F.xxhash64("entities").alias("record"), term_places(F.col("text")).alias("places")), "held")
     words = work.table(held.select("h", F.explode(F.array_distinct(F.transform("places", lambda t: t["term"]))).alias("term")), "words")
     copied = work.table(sizes.where("n > 1 and not holds").select(F.col("h").alias("of"), (1.0 / F.col("n")).alias("share")), "copied")

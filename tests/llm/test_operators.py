@@ -348,7 +348,9 @@ def test_personal_data(spark, docs, edge, tmp_path):
         assert all(r.n_email + r.n_ip + r.n_card + r.n_phone or not r.spans for r in got)  # clean documents stay clean
 
 
-def test_disclosed_terms_against_plain_counts(spark):
+@pytest.mark.parametrize("most_terms", [0, 200_000])
+def test_disclosed_terms_against_plain_counts(spark, monkeypatch, most_terms):
+    monkeypatch.setattr(pii, "MOST_TERMS", most_terms)
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = pii.find_personal_data(docs).join(docs.select("doc_id", "text"), "doc_id").collect()
     want = brute.disclosed({r.text or "" for r in got})
