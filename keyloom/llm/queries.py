@@ -77,6 +77,16 @@ _BLANK = r"[\x20\x09-\x0D]"
 
 def oracle_sql() -> dict[str, str]:
     return {
+        # Every pair of vectors: for tables as small as those it is run on.
+        "op1_embedding_near_dedup": """
+            WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+            g AS (SELECT vec_id, e FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+            l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+                  WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.95),
+            r AS (SELECT vec_id AS node, vec_id AS root FROM v UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node),
+            n AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+            SELECT v.vec_id, coalesce(n.n, 0) AS n_links, min(r.root) AS component_id, v.vec_id = min(r.root) AS kept
+            FROM v JOIN r ON r.node = v.vec_id LEFT JOIN n ON n.a = v.vec_id GROUP BY v.vec_id, n.n""",
         "op8_exact_dedup": rf"""
             WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '{_BLANK}', '', 'g') AS norm FROM documents)
             SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
