@@ -1,4 +1,9 @@
-"""The operators as queries over the whole tables, and their SQL where it can say the same."""
+"""The operators as queries over the whole tables, and their SQL where it can say the same.
+
+Each query gives one row for each row of its table, whatever that holds: nulls in any column, empty and very long texts,
+repeated rows, columns beside those it reads, or no row at all. What it gives for them is what the operator's docstring
+says; digests are of the operator's texts and spans.
+"""
 
 from __future__ import annotations
 
