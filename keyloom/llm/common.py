@@ -51,6 +51,10 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Spark's setting that removes a query's shuffle files when the query ends, not when the driver's memory is next cleaned.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Workspace:
     """Tables written to the shared folder, which end the lineage of what is read from them.
 
@@ -66,7 +70,13 @@ class Workspace:
         return f"{self.top}/{name}"
 
     def table(self, df: DataFrame, name: str, **options: str) -> DataFrame:
-        df.write.options(**options).mode("overwrite").parquet(self.path(name))
+        """Writes ``df``, frees the shuffles that made it, and reads it."""
+        before = self.spark.conf.get(FREE_SHUFFLES, None)
+        self.spark.conf.set(FREE_SHUFFLES, "true")
+        try:
+            df.write.options(**options).mode("overwrite").parquet(self.path(name))
+        finally:
+            self.spark.conf.set(FREE_SHUFFLES, before) if before else self.spark.conf.unset(FREE_SHUFFLES)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -157,29 +158,78 @@ def most_apart(bits: int) -> int:
     return math.floor(bits * FLIPPED + 4 * math.sqrt(bits * FLIPPED * (1 - FLIPPED)))
 
 
-def _met(nodes: DataFrame, count: int, bits: int) -> DataFrame:
-    """(a, b), a < b: sets that meet at a variant of a block and whose sizes and numbers leave the least similarity possible.
+def _met(nodes: DataFrame, block: int | None, bits: int, reach: int) -> DataFrame:
+    """(a, b), a < b: sets that meet in ``block`` and whose sizes and numbers leave the least similarity possible.
 
-    Every block emits all its variants within half the radius of 2, itself and one for each bit. What meets at a variant
-    is in the order of its fingerprints, turned by another angle in each block, and each set meets the REACH before it.
+    A set emits all variants of the block within half the radius of 2, itself and one for each bit; where ``block`` is
+    None, all its blocks as they are. What meets at a variant is in the order of its fingerprints, turned by another angle
+    in each block, and each set meets those of the ``reach`` before it that no link connects with it yet.
     """
-    masks = F.array(*[F.lit(m).cast("long") for m in (0, *(1 << k for k in range(bits)))])
-    variants = F.flatten(F.transform("blocks", lambda b, t: F.transform(masks, lambda m: F.call_function("shiftleft", t.cast("long"), F.lit(bits)).bitwiseOR(b.bitwiseXOR(m)))))
-    emitted = nodes.select("node", "n", F.explode(variants).alias("variant"))
-    turn = (F.call_function("shiftright", F.col("variant"), F.lit(bits)) % 8 * 7).cast("int")
+    if block is None:
+        variants = F.transform("blocks", lambda b, t: F.call_function("shiftleft", t.cast("long"), F.lit(bits)).bitwiseOR(b))
+        turn = (F.call_function("shiftright", F.col("variant"), F.lit(bits)) % 8 * 7).cast("int")
+    else:
+        masks = F.array(*[F.lit(m).cast("long") for m in (0, *(1 << k for k in range(bits)))])
+        variants = F.when(F.size("blocks") > 0, F.transform(masks, lambda m: F.element_at("blocks", block + 1).bitwiseXOR(m)))
+        turn = F.lit(block % 8 * 7)
+    emitted = nodes.select("node", "n", "root", F.explode(variants).alias("variant"))
     turned = F.call_function("shiftleft", F.col("node"), turn).bitwiseOR(F.call_function("shiftrightunsigned", F.col("node"), 64 - turn))
     order = Window.partitionBy("variant").orderBy(turned, "node")
-    before = [F.lag(F.struct("node", "n"), k).over(order) for k in range(1, REACH + 1)]
-    met = emitted.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.array(*before).alias("before")).where("before[0] is not null")
+    before = [F.lag(F.struct("node", "n", "root"), k).over(order) for k in range(1, reach + 1)]
+    met = emitted.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), F.array(*before).alias("before")).where("before[0] is not null")
 
     def near(o: Column) -> Column:
         sizes = LEAST[1] * F.least(F.col("n_b"), o["n"]) >= LEAST[0] * F.greatest(F.col("n_b"), o["n"])
-        return o.isNotNull() & sizes & (F.bit_count(F.call_function("shiftrightunsigned", o["node"].bitwiseXOR(F.col("b")), F.lit(64 - SEEN))) <= most_apart(SEEN))
+        return o.isNotNull() & sizes & (o["root"] != F.col("root_b")) & (F.bit_count(F.call_function("shiftrightunsigned", o["node"].bitwiseXOR(F.col("b")), F.lit(64 - SEEN))) <= most_apart(SEEN))
 
-    pairs = met.select("b", F.explode(F.filter("before", near)).alias("o")).where("o.node <> b")
+    pairs = met.select("b", F.explode(F.filter("before", near)).alias("o"))
     return pairs.select(F.least("o.node", "b").alias("a"), F.greatest("o.node", "b").alias("b")).distinct()
 
 
+class _Links:
+    """The links found so far between ``nodes``, and what they connect."""
+
+    def __init__(self, work: Workspace, docs: DataFrame, nodes: DataFrame, words: int) -> None:
+        self.work, self.docs, self.nodes, self.words = work, docs, nodes, words
+        self.links, self.roots, self.tried = None, None, 0
+
+    def rooted(self) -> DataFrame:
+        """The nodes, each with its ``root``."""
+        if self.roots is None:
+            return self.nodes.withColumn("root", F.col("node"))
+        return self.nodes.join(self.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def near(self, met: DataFrame, bits: int, name: str) -> DataFrame:
+        """Those of the pairs that all ``bits`` of their blocks leave possible, with the bits in which they differ as d."""
+        a, b = self.nodes.select(F.col("node").alias("a"), F.col("blocks").alias("x")), self.nodes.select(F.col("node").alias("b"), F.col("blocks").alias("y"))
+        apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, k: s + k)
+        return self.work.table(met.join(a, "a").join(b, "b").select("a", "b", apart.alias("d")).where(F.col("d") <= most_apart(bits)), name)
+
+    def sets(self, pairs: DataFrame, name: str) -> DataFrame:
+        """(node, held): the shingle sets of the pairs' nodes."""
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        rows = self.work.table(self.nodes.select("node", "row").join(asked, "node", "left_semi").select("node", F.col("row").alias("of")), f"{name}-rows")
+        passing = _sets(self.docs, build_bloom(rows.select("of"), rows.count()), self.words)  # so that no other text is shuffled
+        return self.work.table(passing.join(rows, F.col("row") == F.col("of")).select("node", "held"), name)
+
+    def seek(self, left: DataFrame, sets: DataFrame, rounds: int) -> None:
+        """Verifies the pairs (a, b, d): each set's nearest first, all in the last round, none that is connected already."""
+        for k in range(1, rounds + 1):
+            if left.isEmpty():
+                return
+            self.tried += 1
+            nearest = left.groupBy("b").agg(F.min(F.struct("d", "a")).alias("best")).select("best.a", "b") if k < rounds else left.select("a", "b")
+            tried = self.work.table(nearest, f"tried-{self.tried}")
+            found = self.work.table(_verified(tried, sets), f"links-{self.tried}")
+            self.links = found if self.links is None else self.links.union(found)
+            self.roots = self.work.table(components(Workspace(self.work.spark, "similar-roots"), self.links, "a", "b"), f"roots-{self.tried}")
+            if k == rounds:
+                return
+            r_a, r_b = self.roots.select(F.col("node").alias("a"), F.col("root").alias("root_a")), self.roots.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
+            still = left.join(tried, ["a", "b"], "left_anti").join(r_a, "a", "left").join(r_b, "b", "left")
+            left = self.work.table(still.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "d"), f"pairs-{self.tried}")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose sets are near copies."""
     part, whole = LEAST
@@ -194,38 +244,29 @@ def similar_documents(docs: DataFrame, words: int = 5) -> DataFrame:
     A 64-bit fingerprint is too short for sets as far apart as LEAST, so a wider one is cut into blocks and each block is
     ball-hashed. Sets of one number, the fingerprint's upper bits and eight of the set's hash, are one node, so groups of
     copies of any size cost one ball. Pairs that meet are verified: by all blocks' bits, then by the Jaccard similarity
-    of the whole sets. Each set tries its nearest link first, and links between what is already connected are not tried.
+    of the whole sets. First sets with an equal block are chained, which connects most of a large group; then come the
+    balls, one block after another, where sets that are connected already do not meet. Each set tries its nearest link
+    first, and links between what has been connected since are not tried.
     Null and blank texts have an empty set and are one group; texts of fewer words have one shingle of all their words;
     long texts are read whole; repeated rows and rows without other columns are nothing special; no rows give no rows.
     """
-    spark = docs.sparkSession
-    work = Workspace(spark, "similar")
+    work = Workspace(docs.sparkSession, "similar")
     count, bits = blocks(docs.count())
     sketches = work.table(_sketches(docs, words, count, bits), "sketches")
     nodes = work.table(sketches.groupBy("node").agg(F.first("n").alias("n"), F.first("blocks").alias("blocks"), F.min("row").alias("row")), "nodes")
-    met = work.table(_met(nodes, count, bits), "met")
-    a, b = nodes.select(F.col("node").alias("a"), F.col("blocks").alias("x")), nodes.select(F.col("node").alias("b"), F.col("blocks").alias("y"))
-    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, k: s + k)
-    left = work.table(met.join(a, "a").join(b, "b").select("a", "b", apart.alias("d")).where(F.col("d") <= most_apart(count * bits)), "pairs-0")
-    asked = work.table(left.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
-    rows = work.table(nodes.select("node", "row").join(asked, "node", "left_semi").select("node", F.col("row").alias("of")), "asked-rows")
-    passing = _sets(docs, build_bloom(rows.select("of"), rows.count()), words)  # so that no other text is shuffled
-    sets = work.table(passing.join(rows, F.col("row") == F.col("of")).select("node", "held"), "sets")
-    work.drop("met", "asked")
-
-    links, roots = None, None
-    for k in range(1, TRIES + 2):
-        if left.isEmpty():
-            break
-        nearest = left.groupBy("b").agg(F.min(F.struct("d", "a")).alias("best")).select("best.a", "b") if k <= TRIES else left.select("a", "b")
-        tried = work.table(nearest, f"tried-{k}")
-        found = work.table(_verified(tried, sets), f"links-{k}")
-        links = found if links is None else links.union(found)
-        roots = work.table(components(Workspace(spark, "similar-roots"), links, "a", "b"), f"roots-{k}")
-        r_a, r_b = roots.select(F.col("node").alias("a"), F.col("root").alias("root_a")), roots.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
-        still = left.join(tried, ["a", "b"], "left_anti").join(r_a, "a", "left").join(r_b, "b", "left")
-        left = work.table(still.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "d"), f"pairs-{k}")
-    work.drop("sets", "asked-rows", "nodes")
-    if roots is None:
+    found = _Links(work, docs, nodes, words)
+
+    equal = found.near(work.table(_met(found.rooted(), None, bits, 1), "met-equal"), count * bits, "near-equal")
+    if not equal.isEmpty():
+        found.seek(equal, found.sets(equal, "sets-equal"), 1)
+        work.drop("sets-equal", "sets-equal-rows")
+
+    rooted = work.table(found.rooted(), "rooted")
+    met = [work.table(_met(rooted, k, bits, REACH), f"met-{k}") for k in range(count)]  # one after another, so that one block's variants are on disk at once
+    left = found.near(reduce(DataFrame.union, met).distinct(), count * bits, "near")
+    if not left.isEmpty():
+        found.seek(left, found.sets(left, "sets"), TRIES + 1)
+    work.drop("sets", "sets-rows", "rooted", "nodes", *[f"met-{k}" for k in range(count)])
+    if found.roots is None:
         return sketches.select("row", F.col("node").alias("group"))
-    return sketches.select("row", "node").join(roots, "node", "left").select("row", F.coalesce("root", "node").alias("group"))
+    return sketches.select("row", "node").join(found.roots, "node", "left").select("row", F.coalesce("root", "node").alias("group"))
