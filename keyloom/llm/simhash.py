@@ -2,30 +2,24 @@
 
 from __future__ import annotations
 
-import math
-from functools import reduce
+from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import Bloom, Workspace, build_bloom, components, per_batch, pick, small_batches
+from keyloom.llm.common import Bloom, Workspace, build_bloom, components, few_or_hashed, per_batch, pick, small_batches
 
 SHINGLES_AT_ONCE = 1 << 16
 
 #: Sets are near copies if they share this part, as a fraction, of all that either has.
 LEAST = (4, 5)
-#: At that similarity the share of a fingerprint's bits that differ: the angle of the two sets, as part of a half turn.
-FLIPPED = math.acos(2 * LEAST[0] / (LEAST[0] + LEAST[1])) / math.pi
-#: A pair at that similarity meets in one of the blocks' balls but for one in twenty-five.
-MISSED = 0.04
-#: Bits of a node's number that are its fingerprint, the upper ones; the others are its set's hash.
-SEEN = 56
-#: In a ball's bucket each set is compared with so many before it in the order of their fingerprints.
-REACH = 7
-#: Rounds in which each set tries one of its links; then all that are left are tried at once.
-TRIES = 3
+#: Shingles that a task gathers before it sends them, and about as many as one part of them has where they are counted.
+BUNDLE, PART = 1 << 18, 1 << 19
+#: Times as many sets of a bucket meet all others in each round.
+SPREAD = 8
 
 
 def shingles(text: str | None, words: int, seed: int = 42) -> np.ndarray:
@@ -102,171 +96,195 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, radius: int
 # Near copies by similarity --------------------------------------------------------------------------------------------
 
 
-def blocks(n: int) -> tuple[int, int]:
-    """(blocks, bits of each) for ``n`` sets: bits so that a ball of radius 2 holds few sets by chance, and as many blocks as make MISSED."""
-    bits = max(16, math.ceil(math.log2(max(n, 2))) + 4)
-    met = sum(math.comb(bits, k) * FLIPPED**k * (1 - FLIPPED) ** (bits - k) for k in range(3))
-    return math.ceil(math.log(MISSED) / math.log(1 - met)), bits
+def _sketches(docs: DataFrame, words: int) -> DataFrame:
+    """(row, node, n, fp): the number of the text's shingle set, zero for an empty one, its size and its fingerprint."""
+    small_batches(docs.sparkSession)
 
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        from xxhash import xxh64_intdigest
 
-def wide(held: np.ndarray, count: int, bits: int) -> np.ndarray:
-    """``count`` blocks of ``bits`` bits of the fingerprint of a set of hashes, each as a number; further bits come of the hashes mixed anew."""
-    found = []
-    for k in range(-(-count * bits // 64)):
-        x = held + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        found.append(majority(x ^ (x >> np.uint64(31))))
-    return np.concatenate(found)[: count * bits].reshape(count, bits) @ (1 << np.arange(bits, dtype=np.int64))
+        sets = [np.unique(shingles(t, words)) for t in b.column(1).to_pylist()]
+        nodes = np.array([xxh64_intdigest(s.tobytes()) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+        prints = [int(np.packbits(majority(s), bitorder="little").view(np.int64)[0]) for s in sets]
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.int64())], ["row", "node", "n", "fp"])
 
+    return pick(docs, "row", "text").mapInArrow(per_batch(run), "row long, node long, n long, fp long")
 
-def _sketches(docs: DataFrame, words: int, count: int, bits: int) -> DataFrame:
-    """(row, node, n, blocks): the number of the text's shingle set, zero for an empty one, its size and its fingerprint's blocks."""
-    small_batches(docs.sparkSession)
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        from xxhash import xxh64_intdigest
+def _repeated(docs: DataFrame, words: int, parts: int) -> DataFrame:
+    """(tok, df): the shingles that more than one text of (row, text) holds, with the number of such texts.
 
-        nodes, sizes, found = [], [], []
-        for text in b.column(1).to_pylist():
-            hashes = shingles(text, words)
-            held = np.unique(hashes)
-            fp = int(np.packbits(majority(held), bitorder="little").view(np.uint64)[0])
-            nodes.append(fp >> 64 - SEEN << 64 - SEEN | xxh64_intdigest(held.tobytes()) >> SEEN if len(held) else 0)
-            sizes.append(len(held))
-            found.append(wide(held, count, bits) if len(held) else np.empty(0, np.int64))
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["row", "node", "n", "blocks"])
+    Hashes travel as bytes, eight a shingle, dealt into ``parts`` by their value; each task counts what it has first.
+    """
 
-    return pick(docs, "row", "text").mapInArrow(per_batch(run), "row long, node long, n long, blocks array<long>")
+    def dealt(sets: list[np.ndarray]) -> pa.RecordBatch:
+        toks, counts = np.unique(np.concatenate(sets), return_counts=True)
+        part = (toks % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        toks, counts, part = toks[order], counts[order].astype(np.uint64), part[order]
+        once, more = [], []
+        found, starts = np.unique(part, return_index=True)
+        for s, e in zip(starts, [*starts[1:], len(part)], strict=True):
+            single = counts[s:e] == 1
+            once.append(toks[s:e][single].tobytes())
+            more.append(np.column_stack((toks[s:e][~single], counts[s:e][~single])).tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(found), pa.array(once, pa.binary()), pa.array(more, pa.binary())], ["part", "once", "more"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, size = [], 0
+        for b in batches:
+            for text in b.column(1).to_pylist():
+                sets.append(np.unique(shingles(text, words)))
+                size += len(sets[-1])
+                if size >= BUNDLE:
+                    yield dealt(sets)
+                    sets, size = [], 0
+        if size:
+            yield dealt(sets)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = defaultdict(list)
+        for b in batches:
+            for part, once, more in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                by[part].append((once, more))
+        for bundles in by.values():
+            once = np.concatenate([np.frombuffer(x, np.uint64) for x, _ in bundles])
+            more = np.concatenate([np.frombuffer(x, np.uint64).reshape(-1, 2) for _, x in bundles])
+            toks, counts = np.concatenate((once, more[:, 0])), np.concatenate((np.ones(len(once), np.int64), more[:, 1].astype(np.int64)))
+            order = np.argsort(toks)
+            toks, counts = toks[order], counts[order]
+            starts = np.flatnonzero(np.concatenate(([True], toks[1:] != toks[:-1])))
+            toks, df = toks[starts].view(np.int64), np.add.reduceat(counts, starts)
+            toks, df = toks[df > 1], df[df > 1]
+            for k in range(0, len(toks), SHINGLES_AT_ONCE):
+                yield pa.RecordBatch.from_arrays([pa.array(toks[k : k + SHINGLES_AT_ONCE]), pa.array(df[k : k + SHINGLES_AT_ONCE])], ["tok", "df"])
+
+    return pick(docs, "row", "text").mapInArrow(deal, "part long, once binary, more binary").repartition(parts, "part").mapInArrow(count, "tok long, df long")
+
+
+def least_shared(n: Column) -> Column:
+    """The shingles that a set of ``n`` shares at least with a near copy."""
+    part, whole = LEAST
+    return F.floor((part * n + whole - 1) / whole).cast("long")
 
 
-def _sets(docs: DataFrame, asked: Bloom, words: int) -> DataFrame:
-    """(row, held): the shingle set of each text of (row, text) whose row passes the filter."""
+def _held(docs: DataFrame, repeated: Bloom, words: int) -> DataFrame:
+    """(row, held): of each text of (row, text) that can have a near copy, those shingles that pass the filter; no others can be shared."""
+    part, whole = LEAST
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
-        passed = np.flatnonzero(asked.has(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
-        if not len(passed):
+        found, at = [], []
+        for k, text in enumerate(b.column(1).to_pylist()):
+            held = np.unique(shingles(text, words))
+            known = held[repeated.has(held)]
+            if len(known) and whole * len(known) >= part * len(held):
+                found.append(known.view(np.int64))
+                at.append(k)
+        if not at:
             return None
-        part = b.take(pa.array(passed))
-        return pa.RecordBatch.from_arrays([part.column(0), pa.array([np.unique(shingles(t, words)).view(np.int64) for t in part.column(1).to_pylist()], pa.list_(pa.int64()))], ["row", "held"])
+        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(found, pa.list_(pa.int64()))], ["row", "held"])
 
     return pick(docs, "row", "text").mapInArrow(per_batch(run), "row long, held array<long>")
 
 
-def most_apart(bits: int) -> int:
-    """Bits of ``bits`` in which two sets at the least similarity differ but for one pair in thirty thousand."""
-    return math.floor(bits * FLIPPED + 4 * math.sqrt(bits * FLIPPED * (1 - FLIPPED)))
-
+def _buckets(held: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(tok, node, n, pos, rank): the sets that have a shingle among the first of their own, the rarest first.
 
-def _met(nodes: DataFrame, block: int | None, bits: int, reach: int) -> DataFrame:
-    """(a, b), a < b: sets that meet in ``block`` and whose sizes and numbers leave the least similarity possible.
-
-    A set emits all variants of the block within half the radius of 2, itself and one for each bit; where ``block`` is
-    None, all its blocks as they are. What meets at a variant is in the order of its fingerprints, turned by another angle
-    in each block, and each set meets those of the ``reach`` before it that no link connects with it yet.
+    A set of n shingles shares at least m = ceil(4n / 5) with a near copy, so one of its first n - m + 1 in an order that is
+    the same for all sets; the first one that both have is among them in either. ``pos`` shingles of the set come before.
     """
-    if block is None:
-        variants = F.transform("blocks", lambda b, t: F.call_function("shiftleft", t.cast("long"), F.lit(bits)).bitwiseOR(b))
-        turn = (F.call_function("shiftright", F.col("variant"), F.lit(bits)) % 8 * 7).cast("int")
-    else:
-        masks = F.array(*[F.lit(m).cast("long") for m in (0, *(1 << k for k in range(bits)))])
-        variants = F.when(F.size("blocks") > 0, F.transform(masks, lambda m: F.element_at("blocks", block + 1).bitwiseXOR(m)))
-        turn = F.lit(block % 8 * 7)
-    emitted = nodes.select("node", "n", "root", F.explode(variants).alias("variant"))
-    turned = F.call_function("shiftleft", F.col("node"), turn).bitwiseOR(F.call_function("shiftrightunsigned", F.col("node"), 64 - turn))
-    order = Window.partitionBy("variant").orderBy(turned, "node")
-    before = [F.lag(F.struct("node", "n", "root"), k).over(order) for k in range(1, reach + 1)]
-    met = emitted.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), F.array(*before).alias("before")).where("before[0] is not null")
-
-    def near(o: Column) -> Column:
-        sizes = LEAST[1] * F.least(F.col("n_b"), o["n"]) >= LEAST[0] * F.greatest(F.col("n_b"), o["n"])
-        return o.isNotNull() & sizes & (o["root"] != F.col("root_b")) & (F.bit_count(F.call_function("shiftrightunsigned", o["node"].bitwiseXOR(F.col("b")), F.lit(64 - SEEN))) <= most_apart(SEEN))
-
-    pairs = met.select("b", F.explode(F.filter("before", near)).alias("o"))
-    return pairs.select(F.least("o.node", "b").alias("a"), F.greatest("o.node", "b").alias("b")).distinct()
+    known = held.select("node", "n", F.explode("held").alias("tok")).join(repeated, "tok")
+    sets = known.groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("known"))
+    firsts = sets.where(F.size("known") >= least_shared(F.col("n"))).withColumn("alone", F.col("n") - F.size("known"))
+    rows = firsts.select("node", "n", "alone", F.posexplode(F.slice("known", F.lit(1), (F.size("known") - least_shared(F.col("n")) + 1).cast("int"))).alias("at", "t"))
+    rows = rows.select("t.tok", "node", "n", (F.col("alone") + F.col("at")).alias("pos"))
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("tok").orderBy("pos", "n", "node")))
+    return ranked.withColumn("size", F.count("*").over(Window.partitionBy("tok"))).where("size > 1").drop("size")
 
 
 class _Links:
-    """The links found so far between ``nodes``, and what they connect."""
+    """The links found so far between sets, (node, n, held), and what they connect."""
 
-    def __init__(self, work: Workspace, docs: DataFrame, nodes: DataFrame, words: int) -> None:
-        self.work, self.docs, self.nodes, self.words = work, docs, nodes, words
-        self.links, self.roots, self.tried = None, None, 0
+    def __init__(self, work: Workspace, held: DataFrame) -> None:
+        self.work, self.held = work, held
+        self.links, self.roots, self.tried, self.rounds = None, None, None, 0
 
-    def rooted(self) -> DataFrame:
-        """The nodes, each with its ``root``."""
+    def rooted(self, rows: DataFrame) -> DataFrame:
+        """The rows, each with its node's ``root``."""
         if self.roots is None:
-            return self.nodes.withColumn("root", F.col("node"))
-        return self.nodes.join(self.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-
-    def near(self, met: DataFrame, bits: int, name: str) -> DataFrame:
-        """Those of the pairs that all ``bits`` of their blocks leave possible, with the bits in which they differ as d."""
-        a, b = self.nodes.select(F.col("node").alias("a"), F.col("blocks").alias("x")), self.nodes.select(F.col("node").alias("b"), F.col("blocks").alias("y"))
-        apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, k: s + k)
-        return self.work.table(met.join(a, "a").join(b, "b").select("a", "b", apart.alias("d")).where(F.col("d") <= most_apart(bits)), name)
-
-    def sets(self, pairs: DataFrame, name: str) -> DataFrame:
-        """(node, held): the shingle sets of the pairs' nodes."""
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        rows = self.work.table(self.nodes.select("node", "row").join(asked, "node", "left_semi").select("node", F.col("row").alias("of")), f"{name}-rows")
-        passing = _sets(self.docs, build_bloom(rows.select("of"), rows.count()), self.words)  # so that no other text is shuffled
-        return self.work.table(passing.join(rows, F.col("row") == F.col("of")).select("node", "held"), name)
-
-    def seek(self, left: DataFrame, sets: DataFrame, rounds: int) -> None:
-        """Verifies the pairs (a, b, d): each set's nearest first, all in the last round, none that is connected already."""
-        for k in range(1, rounds + 1):
-            if left.isEmpty():
-                return
-            self.tried += 1
-            nearest = left.groupBy("b").agg(F.min(F.struct("d", "a")).alias("best")).select("best.a", "b") if k < rounds else left.select("a", "b")
-            tried = self.work.table(nearest, f"tried-{self.tried}")
-            found = self.work.table(_verified(tried, sets), f"links-{self.tried}")
+            return rows.withColumn("root", F.col("node"))
+        return rows.join(self.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def seek(self, pairs: DataFrame) -> None:
+        """Verifies those of the pairs (a, b), a < b, that were not tried before."""
+        self.rounds += 1
+        if self.tried is not None:
+            pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
+        pairs = self.work.table(pairs.distinct(), f"pairs-{self.rounds}")
+        self.tried = pairs if self.tried is None else self.tried.union(pairs)
+        found = self.work.table(_verified(pairs, self.held), f"links-{self.rounds}")
+        if not found.isEmpty():
             self.links = found if self.links is None else self.links.union(found)
-            self.roots = self.work.table(components(Workspace(self.work.spark, "similar-roots"), self.links, "a", "b"), f"roots-{self.tried}")
-            if k == rounds:
-                return
-            r_a, r_b = self.roots.select(F.col("node").alias("a"), F.col("root").alias("root_a")), self.roots.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
-            still = left.join(tried, ["a", "b"], "left_anti").join(r_a, "a", "left").join(r_b, "b", "left")
-            left = self.work.table(still.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "d"), f"pairs-{self.tried}")
+            self.roots = self.work.table(components(Workspace(self.work.spark, "similar-roots"), self.links, "a", "b"), f"roots-{self.rounds}")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose sets are near copies."""
     part, whole = LEAST
-    a, b = sets.select(F.col("node").alias("a"), F.col("held").alias("held_a")), sets.select(F.col("node").alias("b"), F.col("held").alias("held_b"))
+    a, b = held.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("held").alias("held_a")), held.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("held").alias("held_b"))
     both = F.size(F.array_intersect("held_a", "held_b"))
-    return pairs.join(a, "a").join(b, "b").where((part + whole) * both >= part * (F.size("held_a") + F.size("held_b"))).select("a", "b")
+    return pairs.join(a, "a").join(b, "b").where((part + whole) * both >= part * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+
+def _alike(nodes: DataFrame) -> DataFrame:
+    """(a, b), a < b: sets of (node, fp) that operator 3 links, those of equal fingerprints by the first of them."""
+    firsts = nodes.groupBy("fp").agg(F.min("node").alias("first"))
+    equal = nodes.join(firsts, "fp").where("node <> first").select(F.col("first").alias("x"), F.col("node").alias("y"))
+    near = near_fingerprints(firsts.select("fp")).join(firsts.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select("x", "y")
+    return equal.union(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def _met(rooted: DataFrame, high: int) -> DataFrame:
+    """(a, b), a < b: the buckets' sets of ranks below ``high`` with all after them that no link connects with them yet, where sizes and places leave the least similarity possible."""
+    part, whole = LEAST
+    x, y = rooted.where(F.col("rank") < high).alias("x"), rooted.alias("y")
+    n = F.col("x.n") + F.col("y.n")
+    sizes = whole * F.least("x.n", "y.n") >= part * F.greatest("x.n", "y.n")
+    places = (part + whole) * F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= part * n
+    met = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.rank") < F.col("y.rank")) & (F.col("x.root") != F.col("y.root")) & sizes & places)
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
 
 def similar_documents(docs: DataFrame, words: int = 5) -> DataFrame:
     """Every row of ``docs``, (row, text), as (row, group): alike for texts that links of similarity LEAST or more connect.
 
-    A 64-bit fingerprint is too short for sets as far apart as LEAST, so a wider one is cut into blocks and each block is
-    ball-hashed. Sets of one number, the fingerprint's upper bits and eight of the set's hash, are one node, so groups of
-    copies of any size cost one ball. Pairs that meet are verified: by all blocks' bits, then by the Jaccard similarity
-    of the whole sets. First sets with an equal block are chained, which connects most of a large group; then come the
-    balls, one block after another, where sets that are connected already do not meet. Each set tries its nearest link
-    first, and links between what has been connected since are not tried.
+    Exact. Texts of one shingle set are one node, so groups of copies of any size cost one. A text of whose shingles fewer
+    than LEAST are in any other text has no link. The others are linked by operator 3's fingerprints first, each link
+    verified by the Jaccard similarity of the whole sets. What these leave apart meets by prefixes: all near copies share
+    one of their rarest shingles. In such a bucket the first set meets all that are not connected with it yet, then the
+    next SPREAD of those that are still apart, and so on until a bucket is connected or all its pairs were tried: nothing
+    is capped, and a large group costs few times its size where its links connect it.
     Null and blank texts have an empty set and are one group; texts of fewer words have one shingle of all their words;
     long texts are read whole; repeated rows and rows without other columns are nothing special; no rows give no rows.
     """
     work = Workspace(docs.sparkSession, "similar")
-    count, bits = blocks(docs.count())
-    sketches = work.table(_sketches(docs, words, count, bits), "sketches")
-    nodes = work.table(sketches.groupBy("node").agg(F.first("n").alias("n"), F.first("blocks").alias("blocks"), F.min("row").alias("row")), "nodes")
-    found = _Links(work, docs, nodes, words)
-
-    equal = found.near(work.table(_met(found.rooted(), None, bits, 1), "met-equal"), count * bits, "near-equal")
-    if not equal.isEmpty():
-        found.seek(equal, found.sets(equal, "sets-equal"), 1)
-        work.drop("sets-equal", "sets-equal-rows")
-
-    rooted = work.table(found.rooted(), "rooted")
-    met = [work.table(_met(rooted, k, bits, REACH), f"met-{k}") for k in range(count)]  # one after another, so that one block's variants are on disk at once
-    left = found.near(reduce(DataFrame.union, met).distinct(), count * bits, "near")
-    if not left.isEmpty():
-        found.seek(left, found.sets(left, "sets"), TRIES + 1)
-    work.drop("sets", "sets-rows", "rooted", "nodes", *[f"met-{k}" for k in range(count)])
+    sketches = work.table(_sketches(docs, words), "sketches")
+    nodes = work.table(sketches.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.min("row").alias("of")), "nodes")
+    n_nodes, n_shingles = nodes.count(), sketches.agg(F.sum("n")).first()[0] or 0
+    repeated = work.table(_repeated(docs, words, 1 + n_shingles // PART), "repeated")
+    known = build_bloom(repeated.select("tok"), repeated.count())
+    held = work.table(_held(docs, known, words).join(few_or_hashed(nodes, n_nodes), F.col("row") == F.col("of")).select("node", "n", "fp", "held"), "held")
+
+    found = _Links(work, held.select("node", "n", "held"))
+    found.seek(_alike(held.select("node", "fp")))
+    left, low, wide = work.table(_buckets(held, repeated), "buckets"), 1, 1
+    while not left.isEmpty():
+        found.seek(_met(found.rooted(left), low + wide))
+        low, wide = low + wide, wide * SPREAD
+        by = Window.partitionBy("tok")
+        apart = found.rooted(left.where(F.col("rank") >= low)).withColumn("apart", F.min("root").over(by) != F.max("root").over(by))
+        left = work.table(apart.where("apart").drop("root", "apart"), f"left-{low}")
+    work.drop("nodes", "held", "repeated", "buckets")
     if found.roots is None:
         return sketches.select("row", F.col("node").alias("group"))
     return sketches.select("row", "node").join(found.roots, "node", "left").select("row", F.coalesce("root", "node").alias("group"))

@@ -1,9 +1,11 @@
 """The stages against plain versions, each on what it was given."""
 
+import random
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline as p
-from keyloom.llm import langid, mixing
+from keyloom.llm import langid, mixing, simhash
 from keyloom.llm.queries import tokenizer_file
 from tests.llm import brute
 
@@ -53,6 +55,25 @@ def test_recall_of_near_copies(spark):
     assert want <= got and len(got - want) <= 0.1 * gone and gone > 50
 
 
+def test_near_copies_of_a_large_group(spark):
+    """Of near copies that lie near each other's limit no link is lost, however many meet in one bucket."""
+    rnd = random.Random(1)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnop", k=7))
+    rows = []
+    for n_copies in (200, 40, 5):
+        base = [word() for _ in range(150)]
+        for _ in range(n_copies):
+            own = list(base)
+            for k in rnd.sample(range(150), rnd.randint(1, 4)):
+                own[k] = word()
+            rows.append((len(rows), " ".join(own)))
+    want, links = brute.similar(rows)
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in p.near_copies(spark, docs, "").collect()) == sorted(set(want.values()))
+    groups = {r.row: r.group for r in simhash.similar_documents(docs.select(F.col("doc_id").alias("row"), "text")).collect()}
+    assert len({(groups[i], want[i]) for i, _ in rows}) == len(set(groups.values())) == len(set(want.values())) < len(rows) and len(links) > 100
+
+
 def test_run(spark, data):
     got = p.run(spark, data)
     assert got.columns == ["doc_id", "ids"] and got.count() > 100
