@@ -15,6 +15,8 @@ from keyloom.llm.lsm import RunIndex
 BLANKS = " \t\n\x0b\x0c\r"
 #: Repeated keys, of 16 bytes each, that may be sent to all workers.
 MOST_KEYS = 200_000
+#: A level's runs beyond which they are compacted; fewer than the batches, as no level would ever be full.
+FANOUT = 2
 LOWER = {k: k + 32 for k in range(ord("A"), ord("Z") + 1)}
 
 
@@ -52,7 +54,7 @@ def repeated_lines(work: Workspace, lines: DataFrame, least_docs: int, batches:
     of its own; what older runs have already is a hit, and adds to their counts. So every key is in one run, and documents
     belong to one batch.
     """
-    index = RunIndex(work, "key", {"n_docs": F.sum("n_docs"), "last_id": F.max("last_id")})
+    index = RunIndex(work, "key", {"n_docs": F.sum("n_docs"), "last_id": F.max("last_id")}, FANOUT)
     hits = None
     for k in range(batches):
         counted = lines.where(F.col("batch") == k).select("key", "doc_id").distinct().groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_id"))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from keyloom.llm import bpe, embed_dedup, exact_dedup, langid, line_dedup, mixing, pii, queries, simhash, substring, url_filter
+from keyloom.llm import bpe, embed_dedup, exact_dedup, langid, line_dedup, lsm, mixing, pii, queries, simhash, substring, url_filter
 from tests.llm import brute
 
 LONG = " ".join(f"wort{k}" for k in range(3000))
@@ -372,6 +372,13 @@ def test_disclosing_terms(spark):
     assert "[EMAIL]" in clean and "[TERM]" in clean and "boss" not in clean and "Zorblatt" not in clean and clean.endswith("from home 1")
 
 
+def test_line_runs_of_the_query_are_compacted(spark, data, docs, monkeypatch):
+    merged, compacted = lsm.RunIndex.merged, []
+    monkeypatch.setattr(lsm.RunIndex, "merged", lambda index, runs: compacted.append(len(runs)) or merged(index, runs))
+    assert rows(queries.op10_line_dedup(spark, data)) == sorted(brute.lines(pairs(docs)), key=repr)
+    assert compacted == [3]
+
+
 @pytest.mark.parametrize("most_keys", [0, 200_000])
 def test_line_runs_are_levelled(spark, docs, most_keys):
     assert rows(line_dedup.drop_repeated_lines(docs, batches=9, most_keys=most_keys).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256))) == sorted(brute.lines(pairs(docs)), key=repr)
