@@ -90,15 +90,18 @@ def _grams(words: DataFrame) -> DataFrame:
 
 
 class _Rows(dict):
-    """Word to its row in the model's table; a word that is met for the first time is scored and, while there is room, gets one."""
+    """Word to its row in the model's table; a word that is met for the first time is scored and, while there is room, gets one, in one array for all."""
 
     def __init__(self, model: Model) -> None:
         super().__init__(model.tables[0][0])
-        self.model, self.late = model, []
+        self.model, self.late, self.n_late = model, np.empty((1024, len(model.langs))), 0
 
     def __missing__(self, word: str) -> int:
-        self.late.append(self.model.unseen(word))
-        self[word] = at = self.model.known + len(self.late) - 1
+        if self.n_late == len(self.late):
+            self.late = np.concatenate([self.late, np.empty_like(self.late)])
+        self.late[self.n_late] = self.model.unseen(word)
+        self[word] = at = self.model.known + self.n_late
+        self.n_late += 1
         return at
 
 
@@ -122,7 +125,7 @@ class Model:
 
     def scores(self, words: list[str]) -> np.ndarray:
         """Mean score a word, by language."""
-        if self.rows is None or len(self.rows.late) * len(self.langs) > REMEMBERED_CELLS:
+        if self.rows is None or self.rows.n_late * len(self.langs) > REMEMBERED_CELLS:
             self.rows = _Rows(self)
         total = np.zeros(len(self.langs))
         for lo in range(0, len(words), AT_ONCE):
@@ -131,7 +134,7 @@ class Model:
             total += self.tables[0][1][at[old]].sum(axis=0, dtype=np.float64)
             if not old.all():
                 times = Counter((at[~old] - self.known).tolist())
-                total += np.fromiter(times.values(), float, len(times)) @ np.array([self.rows.late[k] for k in times])
+                total += np.fromiter(times.values(), float, len(times)) @ self.rows.late[list(times)]
         return total / len(words)
 
     def predict(self, text: str | None) -> tuple[str, float]:

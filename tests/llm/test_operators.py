@@ -234,6 +234,20 @@ def test_word_first_backoff():
     assert langid.features("हिन्दी ½ Ⅷ a1b") == ["हिन्दी", "a", "b"]
 
 
+def test_remembered_words_take_little_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    model = langid.Model(list("abcd"), [({"der": 0}, np.zeros((1, 4)))] + [({"d": 0}, np.array([[-7.0, -8.0, -9.0, -6.0]]))] * 4)
+    words = [f"d{k}" for k in range(40_000)]
+    tracemalloc.start()
+    assert model.scores(words).tolist() == pytest.approx([-7.0, -8.0, -9.0, -6.0])
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held / len(words) < 180  # four numbers of 8 bytes, the word's place and its number
+
+
 def test_language_model_against_plain_counts(spark, docs, monkeypatch):
     import math
     from collections import Counter
