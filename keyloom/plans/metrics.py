@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+#: As many groups have their brackets sent to all tasks, some 200 bytes each.
+FEW_GROUPS = 100_000
+
 
 def prefix_counts(keys: DataFrame, longest: int) -> DataFrame:
     """How many keys start with each prefix of up to ``longest`` characters: the nodes of a radix tree."""
@@ -14,10 +19,44 @@ def prefix_counts(keys: DataFrame, longest: int) -> DataFrame:
     return keys.select("key", cut.alias("depth")).groupBy(F.expr("left(key, depth)").alias("prefix")).agg(F.count("*").alias("n"))
 
 
+def percentiles(rows: DataFrame, by: list[Column], points: tuple[float, ...], *sums: Column, accuracy: int = 10_000) -> DataFrame:
+    """``sums`` of (by, value) by group, and for each point the least value that this share of its values, none a null, does not exceed.
+
+    Exact, in three scans. A sketch of bounded size brackets each point; what lies below and up to a bracket is counted; only
+    values on the side that holds the point's rank are put in order. That is the bracket, some 6 of ``accuracy`` values, if the
+    sketch keeps its bound, else all on one side of it: a sketch decides on the work, never on a result. Groups are counted
+    first: up to ``FEW_GROUPS`` their brackets are sent to the values, which stay where they are; more meet them in a shuffle.
+    A stream is read once, so its state holds how often each value of a group came.
+    """
+    named = [f"p{str(p)[2:]}" for p in points]
+    if rows.isStreaming:
+        return rows.groupBy(*by).agg(*sums, *[F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)").alias(n) for n, p in zip(named, points)])
+    rows = rows.select(F.struct(*by).alias("group"), "*")
+    few = rows.select("group").distinct().limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
+    meet = lambda told: rows.select("group", "value").join(F.broadcast(told) if few else told, "group")
+    shares = [min(max(p + far / accuracy, 0.0), 1.0) for p in points for far in (-2, 2)]
+    cuts = rows.groupBy("group").agg(F.count("value").alias("held"), *sums, F.percentile_approx("value", shares, accuracy).alias("cuts"))
+    told = [c for c in cuts.columns if c not in ("group", "cuts")]
+    cuts = cuts.select("group", *told, *[F.col("cuts")[2 * i + j].alias(n + end) for i, n in enumerate(named) for j, end in enumerate(("_lo", "_hi"))])
+    value, carried = F.col("value"), [F.any_value(c).alias(c) for c in cuts.columns[1:]]
+    counts = [F.count_if(c).alias(n + end) for n in named for c, end in ((value < F.col(f"{n}_lo"), "_below"), (value <= F.col(f"{n}_hi"), "_upto"))]
+    asked = []
+    for n, p in zip(named, points):
+        rank, below, upto = F.ceil(F.col("held") * F.lit(Decimal(str(p)))).cast("long"), F.col(f"{n}_below"), F.col(f"{n}_upto")
+        side = F.when(rank <= below, 0).when(rank <= upto, 1).otherwise(2)
+        left = rank - F.when(side == 0, 0).when(side == 1, below).otherwise(upto)
+        asked.append(F.struct(F.lit(n).alias("name"), side.alias("side"), F.col(f"{n}_lo").alias("lo"), F.col(f"{n}_hi").alias("hi"), left.alias("left")))
+    asked = meet(cuts).groupBy("group").agg(*carried, *counts).select("group", *told, F.inline(F.array(*asked)))
+    there = F.when(F.col("side") == 0, value < F.col("lo")).when(F.col("side") == 1, value.between(F.col("lo"), F.col("hi"))).otherwise(value > F.col("hi"))
+    near = meet(asked).where(F.coalesce(there, F.col("held") == 0)).groupBy("group", "name", "value").agg(F.count("*").alias("count"), *[F.any_value(c).alias(c) for c in ("left", *told)])
+    near = near.withColumn("upto", F.sum("count").over(Window.partitionBy("group", "name").orderBy("value"))).where(F.col("upto") >= F.col("left"))
+    found = near.groupBy("group").agg(*[F.any_value(c).alias(c) for c in told], *[F.min(F.when(F.col("name") == n, value)).alias(n) for n in named])
+    return found.select("group.*", *told[1:], *named)
+
+
 def latency(requests: DataFrame, points: tuple[float, ...] = (0.9, 0.999), accuracy: int = 10_000) -> DataFrame:
-    """Count, mean and percentiles by command, each a value that occurs; sketches of bounded size, merged, and exact while a command has fewer values than ``accuracy``."""
-    cols = [F.percentile_approx("value", p, accuracy).alias(f"p{str(p)[2:]}") for p in points]
-    return requests.groupBy("cmd").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), *cols)
+    """Count, mean and percentiles by command, each a value that occurs and exact; ``accuracy`` is that of the sketch they are looked for with."""
+    return percentiles(requests, [F.col("cmd")], points, F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), accuracy=accuracy)
 
 
 def rolling_latency(requests: DataFrame, age: str = "60 seconds", step: str = "12 seconds", accuracy: int = 10_000) -> DataFrame:
