@@ -60,9 +60,9 @@ def latency(requests: DataFrame, points: tuple[float, ...] = (0.9, 0.999), accur
 
 
 def rolling_latency(requests: DataFrame, age: str = "60 seconds", step: str = "12 seconds", accuracy: int = 10_000) -> DataFrame:
-    """The summary of (cmd, ts, value) over the last ``age`` at every ``step``: sliding windows, also of a stream."""
-    seen = requests.groupBy(F.window(F.col("ts").cast("timestamp"), age, step).alias("w"), "cmd")
-    out = seen.agg(F.count("*").alias("n"), F.percentile_approx("value", 0.9, accuracy).alias("p9"))
+    """Count and exact percentile of (cmd, ts, value) over the last ``age`` at every ``step``: sliding windows, also of a stream."""
+    windows = F.window(F.col("ts").cast("timestamp"), age, step).alias("w")
+    out = percentiles(requests, [windows, F.col("cmd")], (0.9,), F.count("*").alias("n"), accuracy=accuracy)
     return out.select(F.unix_seconds("w.end").alias("until"), "cmd", "n", "p9")
 
 

@@ -59,3 +59,38 @@ def test_latency_of_many_commands(spark, monkeypatch):
     rows = spark.createDataFrame(MIXED, "cmd string, value double")
     assert plain(metrics.latency(rows, (0.9, 0.999), 20).drop("mean").collect()) == told((0.9, 0.999))
     assert not metrics.latency(rows.limit(0)).collect()
+
+
+def timed(spark, n):
+    """Values of two commands over four minutes, in a mixed order, some null."""
+    at = F.timestamp_seconds(1_704_067_200 + F.col("id") % 240)
+    value = F.when(F.col("id") % 11 > 0, (F.col("id") * 7919 % n).cast("double"))
+    return spark.range(0, n, 1, 7).select(F.when(F.col("id") % 5 == 0, "set").otherwise("get").alias("cmd"), at.alias("ts"), value.alias("value"))
+
+
+def windows(requests):
+    """What (until, cmd, n, p9) of 60 seconds every 12 are, by hand."""
+    held = {}
+    for cmd, ts, v in requests:
+        end = ts // 12 * 12 + 12
+        for until in range(end, end + 60, 12):
+            held.setdefault((until, cmd), []).append(v)
+    return {(*k, len(vs), nearest(vs, 0.9)) for k, vs in held.items()}
+
+
+def test_rolling_latency_is_exact_beyond_the_sketch(spark):
+    rows = timed(spark, 240_000)
+    want = windows(rows.select("cmd", F.unix_seconds("ts"), "value").collect())
+    assert len(want) == 48 and max(n for _, _, n, _ in want) == 48_000
+    assert plain(metrics.rolling_latency(rows).collect()) == want
+
+
+def test_rolling_latency_of_a_stream(spark, tmp_path):
+    """Files that come one after another give what they give at once, beyond what the sketch holds."""
+    rows = timed(spark, 3_000)
+    rows.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = metrics.rolling_latency(stream, accuracy=20).writeStream.format("memory").queryName("rolled").outputMode("complete")
+    out.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    want = windows(rows.select("cmd", F.unix_seconds("ts"), "value").collect())
+    assert plain(spark.table("rolled").collect()) == plain(metrics.rolling_latency(rows, accuracy=20).collect()) == want
